@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palimpsest.llm.scratch import table
 
 
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from palimpsest.llm.packing import pack
+    from palimpsest.llm.tokens import token_pieces
+
+    return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), 1024)
+
+
 def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.sharding import two_pass_shuffle
 

@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from palimpsest.llm.scratch import Scratch
@@ -46,7 +47,7 @@ def two_pass_shuffle(df: DataFrame, key: str, text: str, shards: int = 16, seed:
 
     def shuffled(t: pa.Table) -> pa.Table:
         b = t.column(BUCKET)[0].as_py()
-        t = t.take(pa.compute.sort_indices(t.select(by), sort_keys=[(c, "ascending") for c in by]))
+        t = t.take(pc.sort_indices(t.select(by), sort_keys=[(c, "ascending") for c in by]))
         return t.take(_fisher_yates(t.num_rows, seed, b)).append_column(PLACE, pa.array(np.arange(t.num_rows)))
 
     scratch = Scratch(spark, "shuffle")
