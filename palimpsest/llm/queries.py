@@ -18,6 +18,12 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")), 1024)
 
 
+def op2_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.pivots import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.93)
+
+
 def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.sharding import two_pass_shuffle
 

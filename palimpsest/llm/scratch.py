@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers started from here on find this package where the driver found it, unless it was shipped."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +43,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, job: str) -> None:
+        let_workers_import(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
         self.versions: dict[str, list[str]] = {}
