@@ -24,6 +24,14 @@ def op2_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.93)
 
 
+def op3_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.urls import Rule, judge_urls
+
+    allow, block = ("org/", "com/fr/"), ("example.org/es/", "example.org/en/1", "com/de/")
+    rules = [Rule(x, "allow") for x in allow] + [Rule(x, "block") for x in block]
+    return judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", rules)
+
+
 def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.sharding import two_pass_shuffle
 
