@@ -32,6 +32,12 @@ def op3_judge_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", rules)
 
 
+def op4_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.minhash import near_documents
+
+    return near_documents(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, percent=85)
+
+
 def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.sharding import two_pass_shuffle
 
