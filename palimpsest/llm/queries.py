@@ -53,6 +53,12 @@ def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
