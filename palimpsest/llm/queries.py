@@ -53,6 +53,14 @@ def op5_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.language import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    net = fit(docs.where(~held_out("doc_id")), "text", "lang")
+    return identify(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), net, "text").drop("text")
+
+
 def op8_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.pii import find_pii
 
