@@ -67,6 +67,14 @@ def op8_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.repeats import repeated_passages
+
+    out = repeated_passages(table(spark, sf_dir, "documents"), "doc_id", "text", words=50)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"))), ",")
+    return out.select("doc_id", "n_words", "n_repeated", spans.alias("spans"))
+
+
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.decontaminate import find_leaks
 
