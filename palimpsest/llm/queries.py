@@ -61,6 +61,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), net, "text").drop("text")
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.language import held_out
+    from palimpsest.llm.toxicity import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = fit(docs, labels.where(~held_out("doc_id")), "doc_id", "text", {"poor": "quality = 0", "toxic": "toxic = 1"})
+    return score(docs, chain, "doc_id", "text").withColumn("held_out", held_out("doc_id"))
+
+
 def op8_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.pii import find_pii
 
