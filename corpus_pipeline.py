@@ -27,11 +27,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group; similarity 0.8 of five-word shingles."""
+    """Keeps the document of the smallest doc_id of each group; similarity 0.8 of five-word shingles.
+
+    Equal rows are one document. Rows that share a doc_id but not a text all stay, if it is their group's smallest.
+    """
     groups = near_documents(docs, "doc_id", "text", words=5, percent=80)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    # rows that repeat a doc_id are one document
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return left
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

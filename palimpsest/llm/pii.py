@@ -107,10 +107,10 @@ def _joined(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, key: str, text: str, rounds: int = 3, accept: float = 0.8, support: int = 3) -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): one row per row of docs.
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, row_hash): one row per row of docs.
 
     The counts and base_sha256 cover the base spans; spans holds kind:start:end of base and added spans by kind, then
-    start. A null text counts as empty. Keys may be null or repeat; equal rows get equal results. Extra columns are
+    start; row_hash is a hash of key and text, for joins. A null text counts as empty. Keys may be null or repeat; equal rows get equal results. Extra columns are
     ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "pii")
@@ -131,6 +131,7 @@ def find_pii(docs: DataFrame, key: str, text: str, rounds: int = 3, accept: floa
         F.sha2(_joined(spans).cast("binary"), 256).alias("base_sha256"),
         _joined(every).alias("spans"),
         F.size(more).cast("long").alias("n_added"),
+        F.col("rid").alias("row_hash"),
     )
 
 
@@ -168,7 +169,7 @@ def _discover(scratch: Scratch, base: DataFrame, rounds: int, accept: float, sup
 
 
 def redact(docs: DataFrame, found: DataFrame, key: str, text: str, mask: str = "[{}]") -> DataFrame:
-    """docs with every span replaced by its kind in mask; found is find_pii() of the same docs, one row a key."""
+    """docs with every span replaced by its kind in mask; found is find_pii() of the same docs."""
     marks = F.when(F.col("_spans") != "", F.transform(F.split("_spans", ","), lambda s: F.split(s, ":"))).otherwise(F.array().cast("array<array<string>>"))
     order = F.array_sort(F.transform(marks, lambda m: F.struct(m[1].cast("int").alias("start"), m[2].cast("int").alias("end"), m[0].alias("kind"))))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -180,5 +181,6 @@ def redact(docs: DataFrame, found: DataFrame, key: str, text: str, mask: str = "
         return F.struct(F.greatest(a.at, s.end).alias("at"), F.array_append(a.out, F.concat(keep, label)).alias("out"))
 
     masked = F.aggregate(order, zero, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(body, a.at + 1, F.length(body))))
-    joined = docs.join(found.select(F.col(key).alias("_key"), F.col("spans").alias("_spans")), F.col(key).eqNullSafe(F.col("_key")), "left")
-    return joined.withColumn(text, F.when(body.isNotNull() & (F.coalesce("_spans", F.lit("")) != ""), masked).otherwise(body)).select(*docs.columns)
+    by_row = found.where("spans <> ''").select(F.col("row_hash").alias("_row"), F.col("spans").alias("_spans")).groupBy("_row").agg(F.max("_spans").alias("_spans"))
+    joined = docs.join(by_row, F.xxhash64(F.col(key), body) == F.col("_row"), "left")
+    return joined.withColumn(text, F.when(body.isNotNull() & F.col("_spans").isNotNull(), masked).otherwise(body)).select(*docs.columns)
