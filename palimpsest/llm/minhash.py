@@ -4,9 +4,9 @@ Documents with equal shingle sets form a class; classes are banded by their sign
 more are the candidates. Buckets with the same members as another are left out. No stage emits all pairs of a bucket:
 
 1. within blocks of a bucket a leader takes every member that it seems to reach; those pairs (one a member) are tested;
-2. in buckets that still hold several components, each member outside the largest component is compared with the
-   members of the others; its best partners in each foreign component are tested;
-3. what still crosses components in a bucket is tested without a limit.
+2. in buckets that still hold several components, each member outside the largest component visits all of that
+   component, twice over as components grow; a visit tests its pairs within the task and returns one link at most;
+3. pairs among such members that are still not connected are tested one by one.
 
 Comparisons walk the signatures in batches and drop a pair as soon as the posterior probability that its similarity
 reaches the threshold falls below `miss`. Tests are exact, on the full shingle sets, and only tested pairs link.
@@ -132,26 +132,21 @@ def near_documents(docs: DataFrame, key: str, text: str, words: int = 5, percent
     sets = _sets(scratch, rows, members, classes, words)
     least = least_matches(percent / 100, miss)
 
-    links, tested = [], []
-    parts = None
-    for stage in ("leaders", "best", "all"):
-        if stage == "leaders":
-            pairs = _leader_pairs(members, least, percent / 100, block)
-        else:
-            crossing = _crossing(scratch, members, parts, block)
-            if crossing is None:
-                break
-            pairs = _cross_pairs(crossing, least, 3 if stage == "best" else None)
-        pairs = pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs_{stage}")
-        tested.append(pairs)
-        links.append(scratch.save(_verified(pairs, sets, percent), f"links_{stage}"))
-        found = links[0]
-        for x in links[1:]:
-            found = found.union(x)
-        parts = connected_components(found, scratch, "a", "b")
+    sigs = classes.select("cid", "sig")
+    pairs = scratch.save(_distinct(_leader_pairs(members, least, percent / 100, block)), "pairs")
+    links = scratch.save(_verified(pairs, sets, percent), "links0")
+    parts = connected_components(links, scratch, "a", "b")
+    for turn in (1, 2):
+        placed, mixed = _mixed(scratch, members, parts)
+        if mixed is None:
+            break
+        more = _visits(scratch, placed, mixed, parts, sigs, sets, least, percent, block, turn)
+        links = scratch.save(links.union(more), f"links{turn}")
+        parts = connected_components(links, scratch, "a", "b")
+    if mixed is not None:
+        pairs = scratch.save(_distinct(_minor_pairs(placed, mixed, parts, sigs, least, block)), "pairs")
+        links = scratch.save(links.union(_verified(pairs, sets, percent)), "links")
+        parts = connected_components(links, scratch, "a", "b")
     scratch.drop("sets")
 
     smallest = classes.join(parts.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "rep", F.coalesce("component", "cid").alias("root"))
@@ -210,7 +205,9 @@ def _runs(batches: Iterator[pa.RecordBatch], unit: str) -> Iterator[dict[str, np
 
 def _columns(held: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     t = pa.Table.from_batches(held)
-    out = {c: t.column(c).to_numpy() for c in t.column_names if c != "sig"}
+    out = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("sig", "shingles")}
+    if "shingles" in t.column_names:
+        out["shingles"] = t.column("shingles").to_pylist()
     out["sig"] = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(t.num_rows, HASHES)
     return out
 
@@ -241,74 +238,124 @@ def _leader_pairs(members: DataFrame, least: list[int], similarity: float, block
     return _units(units.select("unit", "cid", "sig"), "unit").mapInArrow(lead, "a long, b long")
 
 
-def _crossing(scratch: Scratch, members: DataFrame, parts: DataFrame, block: int) -> DataFrame | None:
-    """(unit, side, comp, cid, sig) for buckets that hold several components; None if there is no such bucket.
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")
 
-    Members outside a bucket's largest component are its minors. Units pair each block of minors with each block of
-    the largest component (side 0 and 1) and with each block of minors (sides 0 and 1, or both 2 for a block itself).
-    """
+
+def _mixed(scratch: Scratch, members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(bucket, cid, comp) of all members, and (bucket, major, minors) of the buckets that hold several components."""
     placed = members.select("bucket", "cid").join(parts.withColumnRenamed("id", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("comp"))
     placed = scratch.save(placed, "placed")
     per = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    mixed = scratch.save(mixed.select("bucket", F.col("top.comp").alias("major"), F.ceil(F.col("top.n") / block).cast("int").alias("nb"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("mb")), "mixed")
-    if not mixed.limit(1).count():
-        return None
-    rows = placed.join(mixed, "bucket")
-    h = F.xxhash64("cid", "bucket")
-    is_major = F.col("comp") == F.col("major")
-    minor = F.pmod(h, F.col("mb")).cast("int")
-    with_major = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.xxhash64("bucket", F.lit("M"), minor, j).alias("unit"), F.lit(0).alias("side")))
-    with_minor = F.transform(
-        F.sequence(F.lit(0), F.col("mb") - 1),
-        lambda j: F.struct(F.xxhash64("bucket", F.lit("m"), F.least(minor, j), F.greatest(minor, j)).alias("unit"), F.when(j == minor, 2).when(minor < j, 0).otherwise(1).alias("side")),
-    )
-    of_major = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda i: F.struct(F.xxhash64("bucket", F.lit("M"), i, F.pmod(h, F.col("nb")).cast("int")).alias("unit"), F.lit(1).alias("side")))
-    units = rows.select("cid", "comp", F.explode(F.when(is_major, of_major).otherwise(F.concat(with_major, with_minor))).alias("u")).select("cid", "comp", "u.unit", "u.side")
-    return units.join(members.select("cid", "sig").dropDuplicates(["cid"]), "cid").select("unit", "side", "comp", "cid", "sig")
-
-
-def _cross_pairs(units: DataFrame, least: list[int], limit: int | None) -> DataFrame:
+    mixed = scratch.save(mixed.select("bucket", F.col("top.comp").alias("major"), (F.col("n") - F.col("top.n")).alias("minors")), "mixed")
+    return placed, mixed if mixed.limit(1).count() else None
+
+
+def _visits(scratch: Scratch, placed: DataFrame, mixed: DataFrame, parts: DataFrame, sigs: DataFrame, sets: DataFrame, least: list[int], percent: int, block: int, turn: int) -> DataFrame:
+    """(a, b): links between members outside their bucket's largest component and that component.
+
+    Each such member visits all of the component, by signatures first and then, where a pair is left, with the full
+    sets; a unit returns one link a visitor, which is what components need. Pairs stay inside the task.
+    """
+    visitors = placed.join(mixed, "bucket").where("comp <> major").groupBy("cid", F.col("major").alias("to")).agg(F.lit(1).alias("one")).select("cid", "to")
+    visitors = scratch.save(visitors, "visitors")
+    nodes = placed.groupBy("cid", "comp").agg(F.lit(1).alias("one")).select("cid", F.col("comp").alias("to"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u in _runs(batches, "unit"):
+            guests, hosts = np.flatnonzero(u["side"] == 0), np.flatnonzero(u["side"] == 1)
+            for at in range(0, len(guests), 64):
+                i = guests[at : at + 64]
+                open_ = (_matches(u["sig"][i], u["sig"][hosts], least) >= 0).any(axis=1) if len(hosts) else np.zeros(len(i), dtype=bool)
+                if open_.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(u["cid"][i[open_]]), pa.array(u["to"][i[open_]])], names=["cid", "to"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u in _runs(batches, "unit"):
+            guests, hosts = np.flatnonzero(u["side"] == 0), np.flatnonzero(u["side"] == 1)
+            if not len(hosts):
+                continue
+            full = [np.frombuffer(x, dtype=np.uint64) for x in u["shingles"]]
+            a, b = [], []
+            for i in guests:
+                m = _matches(u["sig"][[i]], u["sig"][hosts], least)[0]
+                order = np.argsort(-m, kind="stable")
+                for j in hosts[order[m[order] >= 0]]:
+                    if similar(full[i], full[j], percent):
+                        a.append(u["cid"][[i]]), b.append(u["cid"][[j]])
+                        break
+            if a:
+                yield _pair_batch(a, b)
+
+    met = _visit_units(visitors, nodes, block).join(sigs, "cid").select("unit", "side", "to", "cid", "sig")
+    met = scratch.save(_distinct_visits(_units(met, "unit").mapInArrow(meet, "cid long, to long")), "met")
+    close = _visit_units(met, nodes, block).join(sigs.join(sets, "cid"), "cid").select("unit", "side", "to", "cid", "sig", "shingles")
+    return scratch.save(_units(close, "unit").mapInArrow(link, "a long, b long"), f"visited{turn}")
+
+
+def _distinct_visits(visits: DataFrame) -> DataFrame:
+    return visits.groupBy("cid", "to").agg(F.lit(1).alias("one")).select("cid", "to")
+
+
+def _visit_units(visitors: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """(unit, side, to, cid): every block of a component's visitors with every block of its members."""
+    counts = visitors.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("vb"))
+    sizes = nodes.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("hb"))
+    shape = counts.join(sizes, "to")
+    h = F.xxhash64("cid", "to")
+    guests = visitors.join(shape, "to").select("to", "cid", F.lit(0).alias("side"), F.pmod(h, F.col("vb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("hb") - 1)).alias("j"))
+    hosts = nodes.join(shape, "to").select("to", "cid", F.lit(1).alias("side"), F.pmod(h, F.col("hb")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).alias("i"))
+    every = guests.unionByName(hosts)
+    return every.select(F.xxhash64("to", F.col("i").cast("long"), F.col("j").cast("long")).alias("unit"), "side", "to", "cid")
+
+
+def _minor_pairs(placed: DataFrame, mixed: DataFrame, parts: DataFrame, sigs: DataFrame, least: list[int], block: int) -> DataFrame:
+    """(a, b): pairs to test among members outside their bucket's largest component that are not connected yet.
+
+    Units pair the blocks of such members (sides 0 and 1, or both 2 for a block itself).
+    """
+    minors = placed.join(mixed.where("minors > 1"), "bucket").where("comp <> major").select("bucket", "cid", F.ceil(F.col("minors") / block).cast("int").alias("mb"))
+    mine = F.pmod(F.xxhash64("cid", "bucket"), F.col("mb")).cast("int")
+
+    def unit(j):
+        return F.struct(F.xxhash64("bucket", F.least("mine", j), F.greatest("mine", j)).alias("unit"), F.when(j == F.col("mine"), 2).when(F.col("mine") < j, 0).otherwise(1).alias("side"))
+
+    units = minors.withColumn("mine", mine).select("cid", F.explode(F.transform(F.sequence(F.lit(0), F.col("mb") - 1), unit)).alias("u")).select("cid", "u.unit", "u.side")
+    units = units.join(parts.withColumnRenamed("id", "cid"), "cid", "left").select("unit", "side", "cid", F.coalesce("component", "cid").alias("comp"))
+    units = units.join(sigs, "cid").select("unit", "side", "comp", "cid", "sig")
+
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for u in _runs(batches, "unit"):
-            side, comp, ids, sig = u["side"], u["comp"], u["cid"], u["sig"]
-            left = np.flatnonzero(side != 1)
-            right = np.flatnonzero(side != 0)
+            left, right = np.flatnonzero(u["side"] != 1), np.flatnonzero(u["side"] != 0)
             a, b = [], []
-            for at in range(0, len(left), 64):
+            for at in range(0, len(left) if len(right) else 0, 64):
                 i = left[at : at + 64]
-                if not len(right):
-                    break
-                m = _matches(sig[i], sig[right], least)
-                m[comp[i][:, None] == comp[right][None, :]] = -1
+                m = _matches(u["sig"][i], u["sig"][right], least)
+                m[u["comp"][i][:, None] == u["comp"][right][None, :]] = -1
                 x, y = np.nonzero(m >= 0)
-                if limit is not None and len(x):
-                    order = np.lexsort((ids[right[y]], -m[x, y], comp[right[y]], x))
-                    x, y = x[order], y[order]
-                    new = np.r_[True, (x[1:] != x[:-1]) | (comp[right[y[1:]]] != comp[right[y[:-1]]])]
-                    rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-                    x, y = x[rank < limit], y[rank < limit]
-                if len(x):
-                    a.append(ids[i[x]]), b.append(ids[right[y]])
-            if a:
+                a.append(u["cid"][i[x]]), b.append(u["cid"][right[y]])
+            if sum(map(len, a)):
                 yield _pair_batch(a, b)
 
     return _units(units, "unit").mapInArrow(cross, "a long, b long")
 
 
+def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * |intersection| >= percent * |union|."""
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = np.concatenate([s, t])
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= percent * (len(s) + len(t) - inter)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-                s, t = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([s, t])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * inter >= percent * (len(s) + len(t) - inter))
+            sets_a, sets_b = ([np.frombuffer(x, dtype=np.uint64) for x in b.column(c).to_pylist()] for c in ("sa", "sb"))
+            keep = [similar(x, y, percent) for x, y in zip(sets_a, sets_b)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = pairs.join(sets.withColumnsRenamed({"cid": "a", "shingles": "sa"}), "a")
