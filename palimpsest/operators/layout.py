@@ -112,8 +112,8 @@ def seen_header(pages: DataFrame, columns: DataFrame) -> DataFrame:
 
 def same_line(spans: DataFrame, reach: float = 2.0) -> DataFrame:
     """spans with line_text: the texts of all spans of the page less than reach apart in y, in order of y."""
-    w = page_window("y0").rangeBetween(-reach, reach)
-    near = F.collect_list(F.struct("y0", "seq", "text")).over(w)
+    frame = f"PARTITION BY {', '.join(PAGE)} ORDER BY y0 RANGE BETWEEN {float(reach)}D PRECEDING AND {float(reach)}D FOLLOWING"
+    near = F.expr(f"collect_list(struct(y0, seq, text)) OVER ({frame})")
     line = F.array_sort(F.filter(near, lambda s: F.abs(s.y0 - F.col("y0")) < reach))
     return spans.withColumn("line_text", F.array_join(F.transform(line, lambda s: s.text), " "))
 

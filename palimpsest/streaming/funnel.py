@@ -13,6 +13,7 @@ def read_events(spark: SparkSession, folder: str, glob: str = "events.parquet",
 
 def funnel(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(day, event_type, n, value) per tumbling window; the same plan serves batch and stream."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
         events = events.withWatermark("ts", late)
     out = events.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value"))
