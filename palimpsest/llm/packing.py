@@ -74,7 +74,8 @@ def _packer(capacity: int, round_no: int, names: list[str]) -> Callable[[pa.Tabl
 
 def _pack_group(t: pa.Table, capacity: int, round_no: int, names: list[str]) -> pa.Table:
     part = t.column(PART)[0].as_py()
-    t = t.take(pc.sort_indices(t.select(names), sort_keys=[(c, "ascending") for c in names]))
+    by = [c for c in names if not pa.types.is_nested(t.schema.field(c).type)]
+    t = t.take(pc.sort_indices(t.select(by), sort_keys=[(c, "ascending") for c in by]))
     lengths = t.column("length").to_numpy()
     old = t.column(BIN).to_numpy()
     bins = best_fit_decreasing(lengths, capacity)
@@ -93,7 +94,7 @@ def _pack_group(t: pa.Table, capacity: int, round_no: int, names: list[str]) ->
 def pack(pieces: DataFrame, capacity: int = 1024, part_rows: int = 65_536, min_parts: int = 32, rounds: int = 4) -> DataFrame:
     """pieces' columns with sequence_id long and offset long; needs a length column of 1 to capacity.
 
-    All other columns travel along, and order pieces of equal length, so that a retried task packs alike. Columns
+    All other columns travel along; those that are not nested order pieces of equal length, so that a retried task packs alike. Columns
     named sequence_id or offset are replaced. Pieces whose length is null or out of range raise an error. An empty
     table gives an empty result.
     """
@@ -126,5 +127,6 @@ def _offsets(packed: DataFrame, names: list[str]) -> DataFrame:
     """Places in each sequence; a sequence has capacity pieces at most."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(BIN).orderBy(F.desc("length"), *[c for c in names if c != "length"]).rowsBetween(Window.unboundedPreceding, -1)
+    rest = [c for c in names if c != "length" and not isinstance(packed.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType))]
+    w = Window.partitionBy(BIN).orderBy(F.desc("length"), *rest).rowsBetween(Window.unboundedPreceding, -1)
     return packed.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)).cast("long")).select(*names, F.col(BIN).alias("sequence_id"), "offset")
