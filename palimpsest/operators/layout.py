@@ -99,7 +99,7 @@ def assign_roles(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """
     cx = (F.col("x0") + F.col("x1")) / 2
     joined = rows.join(columns, PAGE)
-    band = F.coalesce(F.element_at(F.filter("bands", lambda b: cx < b.x1), 1), F.element_at("bands", -1))
+    band = F.coalesce(F.get(F.filter("bands", lambda b: cx < b.x1), F.lit(0)), F.element_at("bands", -1))
     return joined.withColumn("role", band["role"])
 
 

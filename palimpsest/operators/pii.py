@@ -104,7 +104,7 @@ def locate(hits: DataFrame, spans: DataFrame) -> DataFrame:
     far = lambda s: F.when((s.start <= F.col("start")) & (F.col("start") <= s.end), 0).otherwise(F.least(F.abs(F.col("start") - s.start), F.abs(F.col("start") - s.end)))
     inside = F.filter("_spans", lambda s: (s.start <= F.col("start")) & (F.col("start") < s.end))
     nearest = F.array_min(F.transform("_spans", lambda s: F.struct(far(s).alias("d"), s.start.alias("o"), s.alias("s"))))["s"]
-    box = F.coalesce(F.element_at(inside, 1), nearest)
+    box = F.coalesce(F.get(inside, F.lit(0)), nearest)
     return hits.join(mapped, PAGE).withColumn("_b", box).select(*hits.columns, "_b.x0", "_b.y0", "_b.x1", "_b.y1")
 
 

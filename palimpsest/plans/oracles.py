@@ -80,7 +80,8 @@ def _header_role(t: str) -> str:
 
 ROLE_OF = _by_key("l_partkey", *map(_q, ("date", "description", "paid_out", "paid_in", "balance")))
 LINE_TEXT = "l_returnflag || '-' || l_linestatus || '-' || l_linenumber"
-LINES = f"SELECT l_orderkey AS doc_id, l_linenumber AS seq, {LINE_TEXT} AS text, l_quantity * 0.5 AS y0, l_quantity * 0.5 + 4 AS y1, l_quantity FROM lineitem"
+SEQ = "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER)"
+LINES = f"SELECT l_orderkey AS doc_id, {SEQ} AS seq, {LINE_TEXT} AS text, l_quantity * 0.5 AS y0, l_quantity * 0.5 + 4 AS y1, l_quantity FROM lineitem"
 BUCKET = "CAST(round_even({0} / 4, 0) * 4 AS INTEGER)"
 CARD = """
 WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders),
@@ -149,7 +150,7 @@ SQL: dict[str, str] = {
     "w01_row_cluster": W_FOLD.format("> 3") + "SELECT doc_id, seq, row_id, CAST(round(anchor * 2) AS INTEGER) AS anchor FROM fold",
     "w02_visual_lines": W_FOLD.format(">= 2") + "SELECT doc_id, seq, row_id AS line_no FROM fold",
     "w03_y_bucket_rows": f"SELECT l_orderkey, {BUCKET.format('l_quantity')} AS bucket, count(*) AS spans FROM lineitem GROUP BY 1, 2",
-    "w04_phrase_merge": """WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS seq, l_linestatus AS text, l_quantity AS x0, l_quantity + l_linenumber AS x1 FROM lineitem),
+    "w04_phrase_merge": f"""WITH s AS (SELECT l_orderkey AS doc_id, {SEQ} AS seq, l_linestatus AS text, l_quantity AS x0, l_quantity + l_linenumber AS x1 FROM lineitem),
 g AS (SELECT *, CASE WHEN x0 - lag(x1) OVER w <= 2 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY x0, seq)),
 p AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY x0, seq) - 1 AS phrase_id FROM g)
 SELECT doc_id, CAST(phrase_id AS INTEGER) AS phrase_id, string_agg(text, ' ' ORDER BY x0, seq) AS text, CAST(min(x0) AS INTEGER) AS x0, CAST(last(x1 ORDER BY x0, seq) AS INTEGER) AS x1 FROM p GROUP BY doc_id, phrase_id""",
@@ -162,8 +163,8 @@ SELECT doc_id, page_no, role, count(*) AS cells FROM r GROUP BY 1, 2, 3""",
     "w08_dateless_groups": f"{TX} SELECT doc_id, page_no, CAST(i + 1 AS BIGINT) AS group_id, full_text AS description, amount, is_credit FROM tx",
     "a04_group_description": f"{TX} SELECT doc_id, page_no, CAST(i + 1 AS BIGINT) AS group_id, full_text AS description FROM tx",
     "a05_row_amount": f"{TX} SELECT doc_id, page_no, CAST(i + 1 AS BIGINT) AS group_id, amount, is_credit FROM tx",
-    "a08_phrase_boxes": f"""{TX}, w AS (SELECT doc_id, page_no, wrap, length(strftime(o_orderdate, '%-d %b %Y')) + length(description) + length(format('{{:,.2f}}', amount)) + length(format('{{:,.2f}}', balance)) + coalesce(length(wrap), 0) AS chars FROM tx JOIN orders USING (o_orderkey))
-SELECT doc_id, page_no, CAST(sum({CELLS_OF_ROW}) + 7 AS BIGINT) AS phrases, CAST(sum(chars) * 11 + 11 * ({sum(map(len, ['Date', 'Description', 'Paid out', 'Paid in', 'Balance', 'Sort Code 12-34-56', 'Jane Smith']))}) AS BIGINT) AS half_points FROM w GROUP BY 1, 2""",
+    "a08_phrase_boxes": f"""{TX}, w AS (SELECT doc_id, page_no, wrap, length(description) + length(format('{{:,.2f}}', amount)) + length(format('{{:,.2f}}', balance)) + coalesce(length(wrap), 0) AS chars FROM tx)
+SELECT doc_id, page_no, CAST(sum({CELLS_OF_ROW} - 1) + 7 AS BIGINT) AS phrases, CAST(sum(chars * 11 + 120) + 11 * ({sum(map(len, ['Date', 'Description', 'Paid out', 'Paid in', 'Balance', 'Sort Code 12-34-56', 'Jane Smith']))}) AS BIGINT) AS half_points FROM w GROUP BY 1, 2""",
     "w10_seen_header": f"{TX}, p AS (SELECT DISTINCT doc_id, page_no FROM tx) SELECT doc_id, page_no, page_no % 3 <> 1 AS has_header, page_no % 3 = 1 AS structured_only FROM p",
     "w11_offset_map": f"WITH s AS ({LINES}), o AS (SELECT doc_id, seq, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM s) SELECT doc_id, seq, CAST(st AS INTEGER) AS start, CAST(st + length(text) AS INTEGER) AS \"end\" FROM o",
     "src5_page_text": f"WITH s AS ({LINES}) SELECT doc_id, string_agg(text, ' ' ORDER BY seq) AS page_text FROM s GROUP BY doc_id",
@@ -200,8 +201,8 @@ i AS (SELECT s.* FROM s JOIN h ON s.doc_id = h.doc_id AND s.y0 > h.y),
 l AS (SELECT a.doc_id, a.seq, string_agg(b.text, ' ' ORDER BY b.y0, b.seq) AS t FROM i a JOIN i b ON a.doc_id = b.doc_id AND abs(a.y0 - b.y0) < 2 GROUP BY a.doc_id, a.seq)
 SELECT CASE WHEN contains(lower(t), 'a-f') THEN 'redact' ELSE 'keep' END AS decision, count(*) AS spans FROM l GROUP BY 1""",
     "j05_label_value_semi": f"WITH v AS (SELECT l_orderkey, l_linenumber, l_returnflag AS f, {BUCKET.format('l_quantity')} AS b, l_partkey % 2 AS s FROM lineitem) SELECT l_orderkey, l_linenumber FROM v WHERE f <> 'R' AND EXISTS (SELECT 1 FROM v AS r WHERE r.f = 'R' AND r.l_orderkey = v.l_orderkey AND r.b = v.b AND r.s = v.s)",
-    "j06_clamp_rects": """WITH RECURSIVE bars AS (SELECT l_orderkey, l_linenumber AS bar, l_quantity AS y0, l_quantity + 6 AS y1 FROM lineitem WHERE l_returnflag = 'N'),
-kept AS (SELECT l_orderkey, l_quantity AS a, l_quantity + 5 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem WHERE l_returnflag = 'R'),
+    "j06_clamp_rects": f"""WITH RECURSIVE lines AS (SELECT *, {SEQ} AS seq FROM lineitem), bars AS (SELECT l_orderkey, seq AS bar, l_quantity AS y0, l_quantity + 6 AS y1 FROM lines WHERE l_returnflag = 'N'),
+kept AS (SELECT l_orderkey, l_quantity AS a, l_quantity + 5 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY seq) AS k FROM lines WHERE l_returnflag = 'R'),
 fold AS (SELECT l_orderkey, bar, y0, y1, 0 AS k FROM bars
   UNION ALL SELECT f.l_orderkey, f.bar, CASE WHEN a < y1 AND b > y0 AND a < y0 AND b < y1 THEN greatest(y0, b + 0.5) ELSE y0 END, CASE WHEN a < y1 AND b > y0 AND a > y0 AND b > y1 THEN least(y1, a - 0.5) ELSE y1 END, f.k + 1 FROM fold f JOIN kept USING (l_orderkey) WHERE kept.k = f.k + 1),
 done AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, bar ORDER BY k DESC) AS r FROM fold)
@@ -220,16 +221,16 @@ SELECT doc_id, page_no, reason, count(*) AS spans FROM r WHERE reason IS NOT NUL
     "p21_summary_labels": f"WITH s AS (SELECT {_by_key(SUMMARY_KEY, *map(_q, SUMMARY_TEXTS))} AS t FROM lineitem) SELECT {VALUE.format('t')} AS is_value, {CARD_NO.format('t')} AS is_card_number, count(*) AS n FROM s GROUP BY 1, 2",
     "i01_uk_recognizers": "SELECT c_custkey AS doc_id, CASE c_custkey % 10 " + " ".join(f"WHEN {k} THEN '{TYPES[k][0]}'" for k in (0, 1, 2, 3, 9)) + " END AS entity_type, CAST(length('Mr ' || c_mktsegment || ' has ') + CASE c_custkey % 10 " + " ".join(f"WHEN {k} THEN {_start(k)}" for k in (0, 1, 2, 3, 9)) + " END AS INTEGER) AS start, CASE c_custkey % 10 " + " ".join(f"WHEN {k} THEN {TYPES[k][1]}" for k in (0, 1, 2, 3, 9)) + " END AS score FROM customer WHERE c_custkey % 10 IN (0, 1, 2, 3, 9)",
     "i02_card_luhn": "WITH d AS (SELECT o_orderkey, string_split('424242424242' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0'), '') AS ds FROM orders), s AS (SELECT o_orderkey, list_sum(list_transform(range(1, 17), lambda k: CASE WHEN k % 2 = 0 THEN CAST(ds[k] AS INTEGER) WHEN CAST(ds[k] AS INTEGER) * 2 > 9 THEN CAST(ds[k] AS INTEGER) * 2 - 9 ELSE CAST(ds[k] AS INTEGER) * 2 END)) AS t FROM d) SELECT o_orderkey, t % 10 = 0 AS valid FROM s",
-    "i02_iban_mod97": "SELECT o_orderkey, CAST('232011206016133192681916' || '11' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') AS HUGEINT) % 97 = 1 AS valid FROM orders",
+    "i02_iban_mod97": "SELECT o_orderkey, CAST('23321120' || '60161331926819' || '1611' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') AS HUGEINT) % 97 = 1 AS valid FROM orders",
     "i04_match_offsets": "WITH d AS (SELECT doc_id, regexp_extract_all(text, '[0-9]+\\.[0-9]+') AS m, regexp_split_to_array(text, '[0-9]+\\.[0-9]+') AS q FROM documents), k AS (SELECT doc_id, m, q, unnest(range(1, len(m) + 1)) AS i FROM d) SELECT doc_id, CAST(list_sum(list_transform(q[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS start, m[i] AS value FROM k",
     "i05_region_filter": _found() + "SELECT doc_id, entity_type, y0 FROM found",
     "i06_landlord_preserved": _found(("PERSON", "UK_ACCOUNT_NUMBER", "UK_SORT_CODE", "IBAN_CODE")) + "SELECT entity_type, count(*) AS n FROM found GROUP BY 1",
     "a10_pii_counts": _found() + "SELECT entity_type, CASE WHEN entity_type IS NULL THEN NULL ELSE page_no END AS page_no, count(*) AS n FROM (SELECT *, 0 AS page_no FROM found) GROUP BY ROLLUP (entity_type, page_no)",
-    "j04_pii_shield": "WITH h AS (SELECT l_orderkey AS doc_id, l_linenumber, l_returnflag AS f, CAST(l_quantity AS INTEGER) AS s, CAST(l_quantity + 6 AS INTEGER) AS e FROM lineitem WHERE l_discount * 8 >= 0.4) SELECT doc_id, l_linenumber FROM h WHERE f <> 'R' AND NOT EXISTS (SELECT 1 FROM h AS g WHERE g.doc_id = h.doc_id AND g.f = 'R' AND h.s < g.e AND g.s < h.e)",
+    "j04_pii_shield": f"WITH h AS (SELECT l_orderkey AS doc_id, {SEQ} AS seq, l_discount, l_returnflag AS f, CAST(l_quantity AS INTEGER) AS s, CAST(l_quantity + 6 AS INTEGER) AS e FROM lineitem) SELECT doc_id, seq FROM h WHERE f <> 'R' AND l_discount * 8 >= 0.4 AND NOT EXISTS (SELECT 1 FROM h AS g WHERE g.doc_id = h.doc_id AND g.f = 'R' AND g.l_discount * 8 >= 0.4 AND h.s < g.e AND g.s < h.e)",
     "j02_offset_to_span": f"""WITH s AS ({LINES}), o AS (SELECT doc_id, seq, y0, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st, length(text) AS n FROM s),
-h AS (SELECT l_orderkey AS doc_id, l_linenumber, CAST(l_quantity AS INTEGER) AS at FROM lineitem),
-j AS (SELECT h.doc_id, l_linenumber, y0, row_number() OVER (PARTITION BY h.doc_id, l_linenumber ORDER BY CASE WHEN st <= at AND at < st + n THEN -1 WHEN st <= at AND at <= st + n THEN 0 ELSE least(abs(at - st), abs(at - st - n)) END, st) AS r FROM h JOIN o ON h.doc_id = o.doc_id)
-SELECT doc_id, l_linenumber, CAST(round(y0 * 2) AS INTEGER) AS span_y FROM j WHERE r = 1""",
+h AS (SELECT l_orderkey AS doc_id, {SEQ} AS seq, CAST(l_quantity AS INTEGER) AS pos FROM lineitem),
+j AS (SELECT h.doc_id, h.seq, y0, row_number() OVER (PARTITION BY h.doc_id, h.seq ORDER BY CASE WHEN st <= pos AND pos < st + n THEN -1 WHEN st <= pos AND pos <= st + n THEN 0 ELSE least(abs(pos - st), abs(pos - st - n)) END, st) AS r FROM h JOIN o ON h.doc_id = o.doc_id)
+SELECT doc_id, seq, CAST(round(y0 * 2) AS INTEGER) AS span_y FROM j WHERE r = 1""",
     "s09_first_candidates": "SELECT user_id AS doc_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3",
     "s09_tail20": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20",
     "s10_debug_listing": f"WITH s AS ({LINES}) SELECT doc_id, text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(y0, 1), seq) AS INTEGER) AS place FROM s",
@@ -237,5 +238,12 @@ SELECT doc_id, l_linenumber, CAST(round(y0 * 2) AS INTEGER) AS span_y FROM j WHE
     "a17_usage_stats": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "a16_untouched_pages": f"{TX}, p AS (SELECT DISTINCT doc_id, page_no FROM tx) SELECT doc_id, count(*) FILTER (WHERE page_no % 3 = 1) AS untouched FROM p GROUP BY 1",
     "snk2_output_name": "SELECT o_orderkey, 'redacted_' || o_orderkey || '_£' || format('{:.2f}', CAST(o_totalprice AS DECIMAL(18,2))) || '.pdf' AS name FROM orders",
+    "a12_page_words": f"WITH s AS ({LINES}) SELECT doc_id, count(DISTINCT text) AS words FROM s GROUP BY 1",
+    "a14_person_accuracy": "WITH c AS (SELECT (doc_id * 53 % 100) / 100.0 AS p, toxic = 1 AS e FROM labels) SELECT count(*) FILTER (WHERE (p >= 0.6) = e) AS \"right\", count(*) FILTER (WHERE p < 0.6) AS unsure, count(*) AS cases FROM c",
+    "a15_cases_by_key": "SELECT quality, toxic, count(*) AS cases, min(doc_id) AS first_doc FROM labels GROUP BY 1, 2",
+    "s07_section_ends": f"{CARD} SELECT DISTINCT doc_id, page_no, unnest([0, 1]) AS col, 792 AS end_y FROM card",
+    "src6_text_in_box": f"WITH s AS ({LINES}) SELECT doc_id, string_agg(text, ' ' ORDER BY seq) AS text FROM s WHERE y0 < 11 AND y1 > 4 GROUP BY doc_id",
+    "src9_json_spans": f"WITH s AS ({LINES}) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS seq, text, CAST(round(y0 * 2) AS INTEGER) AS y, CAST(round(y1 * 2) AS INTEGER) AS y_end FROM s",
+    "src10_form_keywords": "SELECT n_nationkey, string_agg(w, '|' ORDER BY k) AS keywords FROM (SELECT n_nationkey, unnest([trim(n_name), 'rent']) AS w, unnest([1, 2]) AS k FROM nation) GROUP BY 1",
     "t01_funnel": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS value FROM events GROUP BY 1, 2",
 }

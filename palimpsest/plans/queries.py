@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from palimpsest.functions import predicates as P
 from palimpsest.operators import card as C, decide as D, groups as G, judge as J, layout as L, pii as I, usage as U
 from palimpsest.plans.statement import Statement, read_statement
-from palimpsest.sources import bridge, sinks
+from palimpsest.sources import bridge, sinks, spans as src
 from palimpsest.streaming import funnel as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.read(spark, sf_dir, "orders")
 
 
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with seq, their place in the order: line numbers repeat."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return bridge.read(spark, sf_dir, "lineitem").withColumn("seq", F.row_number().over(w))
+
+
 def _by_key(key: Column, *cases: Column) -> Column:
     """cases[key mod their number]."""
     out = F.when(key % len(cases) == 0, cases[0])
@@ -246,9 +252,9 @@ def w03_y_bucket_rows(spark, sf_dir):
 @query
 def w04_phrase_merge(spark, sf_dir):
     """Order lines as spans of one row: x from the quantity, merged over gaps of at most 2."""
-    li = bridge.read(spark, sf_dir, "lineitem")
+    li = _lineitem(spark, sf_dir)
     x = F.col("l_quantity")
-    s = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0).alias("row_id"), F.col("l_linenumber").alias("seq"), F.col("l_linestatus").alias("text"), x.alias("x0"), F.lit(0.0).alias("y0"), (x + F.col("l_linenumber")).alias("x1"), F.lit(1.0).alias("y1"))
+    s = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0).alias("row_id"), "seq", F.col("l_linestatus").alias("text"), x.alias("x0"), F.lit(0.0).alias("y0"), (x + F.col("l_linenumber")).alias("x1"), F.lit(1.0).alias("y1"))
     m = L.merge_phrases(s, 2.0)
     return m.select("doc_id", F.col("phrase_id").cast("int").alias("phrase_id"), "text", F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
 
@@ -332,10 +338,10 @@ def w10_seen_header(spark, sf_dir):
 
 
 def _line_spans(spark, sf_dir) -> DataFrame:
-    li = bridge.read(spark, sf_dir, "lineitem")
+    li = _lineitem(spark, sf_dir)
     text = F.concat_ws("-", "l_returnflag", "l_linestatus", "l_linenumber")
     y = F.col("l_quantity") * 0.5
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), F.col("l_linenumber").alias("seq"), text.alias("text"), F.lit(0.0).alias("x0"), y.alias("y0"), F.lit(10.0).alias("x1"), (y + 4).alias("y1"))
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), "seq", text.alias("text"), F.lit(0.0).alias("x0"), y.alias("y0"), F.lit(10.0).alias("x1"), (y + 4).alias("y1"))
 
 
 @query
@@ -522,9 +528,9 @@ def j05_label_value_semi(spark, sf_dir):
 @query
 def j06_clamp_rects(spark, sf_dir):
     """Bars and kept boxes from an order's lines, clamped in line order."""
-    li = bridge.read(spark, sf_dir, "lineitem").withColumns({"doc_id": F.col("l_orderkey").cast("string"), "page_no": F.lit(0)})
-    bars = li.where("l_returnflag = 'N'").select("doc_id", "page_no", F.col("l_linenumber").alias("bar"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + 6).alias("y1"))
-    kept = li.where("l_returnflag = 'R'").select("doc_id", "page_no", F.col("l_linenumber").alias("box"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + 5).alias("y1"))
+    li = _lineitem(spark, sf_dir).withColumns({"doc_id": F.col("l_orderkey").cast("string"), "page_no": F.lit(0)})
+    bars = li.where("l_returnflag = 'N'").select("doc_id", "page_no", F.col("seq").alias("bar"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + 6).alias("y1"))
+    kept = li.where("l_returnflag = 'R'").select("doc_id", "page_no", F.col("seq").alias("box"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + 5).alias("y1"))
     return C.clamp_bars(bars, kept).select("doc_id", "bar", F.round(F.col("y0") * 2).cast("int").alias("y0"), F.round(F.col("y1") * 2).cast("int").alias("y1"))
 
 
@@ -573,7 +579,7 @@ def card_spans(spark, sf_dir) -> DataFrame:
     )
     body = t.select("doc_id", "page_no", "i", "y", F.explode(cells).alias("c")).where("c.text is not null")
     body = body.select("doc_id", "page_no", (10 + F.col("i") * 10 + F.col("c.k")).cast("int").alias("seq"), "c.text", "c.x", (F.col("y") + F.col("c.dy")).alias("y"))
-    head = t.groupBy("doc_id", "page_no").agg(F.lit(1).alias("one")).select("doc_id", "page_no", F.lit(0).alias("seq"), F.lit(C.SECTION_START[0]).alias("text"), F.lit(52.0).alias("x"), F.lit(183.0).alias("y"))
+    head = t.groupBy("doc_id", "page_no").agg(F.lit(1).alias("one")).select("doc_id", "page_no", F.explode(F.array(*[F.struct(F.lit(k).alias("seq"), F.lit(t).alias("text"), F.lit(float(x0)).alias("x"), F.lit(float(y)).alias("y")) for k, t, x0, y in ((0, C.SECTION_START[0], 52, 183), (1, C.SECTION_END[0], 52, 800), (2, C.SECTION_END[0], 330, 800))])).alias("h")).select("doc_id", "page_no", "h.*")
     return body.unionByName(head).select("doc_id", "page_no", "seq", "text", F.col("x").alias("x0"), (F.col("y") - 8).alias("y0"), (F.col("x") + 2.5 * F.length("text")).alias("x1"), (F.col("y") + 2).alias("y1"))
 
 
@@ -690,21 +696,21 @@ def a10_pii_counts(spark, sf_dir):
 
 def _hits(spark, sf_dir) -> DataFrame:
     """Order lines as hits: ranges from the quantity, types from the flag, scores from the discount."""
-    li = bridge.read(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), "l_linenumber", F.col("l_returnflag").alias("entity_type"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity") + 6).cast("int").alias("end"), (F.col("l_discount") * 8).alias("score"))
+    li = _lineitem(spark, sf_dir)
+    return li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), "seq", F.col("l_returnflag").alias("entity_type"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity") + 6).cast("int").alias("end"), (F.col("l_discount") * 8).alias("score"))
 
 
 @query
 def j04_pii_shield(spark, sf_dir):
-    return I.shielded(_hits(spark, sf_dir), ("R",)).select("doc_id", "l_linenumber")
+    return I.shielded(_hits(spark, sf_dir), ("R",)).select("doc_id", "seq")
 
 
 @query
 def j02_offset_to_span(spark, sf_dir):
     """Hits at l_quantity in the pages of their order's lines."""
     spans = _line_spans(spark, sf_dir)
-    hits = _hits(spark, sf_dir).select("doc_id", "page_no", "l_linenumber", "start")
-    return I.locate(hits, spans).select("doc_id", "l_linenumber", F.round(F.col("y0") * 2).cast("int").alias("span_y"))
+    hits = _hits(spark, sf_dir).select("doc_id", "page_no", "seq", "start")
+    return I.locate(hits, spans).select("doc_id", "seq", F.round(F.col("y0") * 2).cast("int").alias("span_y"))
 
 
 @query
@@ -751,6 +757,51 @@ def snk2_output_name(spark, sf_dir):
     return o.select("o_orderkey", sinks.output_name(F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)")).alias("name"))
 
 
+@query
+def a12_page_words(spark, sf_dir):
+    return U.page_words(_line_spans(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"))
+
+
+@query
+def a14_person_accuracy(spark, sf_dir):
+    labels = bridge.read(spark, sf_dir, "labels")
+    return J.choice_accuracy(labels.select(((F.col("doc_id") * 53 % 100) / 100.0).alias("prob"), (F.col("toxic") == 1).alias("expected")))
+
+
+@query
+def a15_cases_by_key(spark, sf_dir):
+    return bridge.read(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("cases"), F.min("doc_id").alias("first_doc"))
+
+
+@query
+def s07_section_ends(spark, sf_dir):
+    return C.section_ends(card_spans(spark, sf_dir)).select("doc_id", "page_no", "col", F.col("end_y").cast("int").alias("end_y"))
+
+
+@query
+def src6_text_in_box(spark, sf_dir):
+    box = [F.lit(v) for v in (0.0, 5.0, 20.0, 10.0)]
+    return src.text_in_box(_line_spans(spark, sf_dir), *box).select("doc_id", "text")
+
+
+@query
+def src9_json_spans(spark, sf_dir):
+    """Order lines as structured-text JSON, a page an order, and back."""
+    s = _line_spans(spark, sf_dir)
+    line = F.struct(F.concat(F.lit(" "), "text").alias("text"), F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h")).alias("bbox"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("l")))), lambda x: x.l)
+    pages = s.groupBy("doc_id", "page_no").agg(F.to_json(F.struct(F.array(F.struct(lines.alias("lines"))).alias("blocks"))).alias("json"))
+    out = src.spans_from_json(pages)
+    return out.select("doc_id", F.col("seq").cast("long").alias("seq"), "text", F.round(F.col("y0") * 2).cast("int").alias("y"), F.round(F.col("y1") * 2).cast("int").alias("y_end"))
+
+
+@query
+def src10_form_keywords(spark, sf_dir):
+    n = bridge.read(spark, sf_dir, "nation")
+    parts = F.filter(F.transform(F.split(F.concat(F.lit(" "), "n_name", F.lit(" , ,rent")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return n.select("n_nationkey", F.array_join(parts, "|").alias("keywords"))
+
+
 @query
 def t01_funnel(spark, sf_dir):
     f = S.funnel(bridge.read(spark, sf_dir, "events"))

@@ -27,9 +27,10 @@ class Statement:
         return D.surviving_spans(self.spans, self.redactions(params, verdicts))
 
 
-def read_statement(spans: DataFrame, pages: DataFrame | None = None) -> Statement:
+def read_statement(spans: DataFrame, pages: DataFrame | None = None, columns: DataFrame | None = None) -> Statement:
+    """columns: those of another detector, such as judged_columns; by labels if not given."""
     spans = L.clean_spans(spans)
-    columns = L.detect_columns(spans, pages)
+    columns = L.detect_columns(spans, pages) if columns is None else columns
     cells = L.assign_roles(L.cluster_rows(spans), columns)
     grouped = G.group_rows(cells)
     return Statement(spans, columns, cells, grouped, G.transactions(grouped))

@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import pytest
 
-from palimpsest.operators import card as C, decide as D, layout as L
+from palimpsest.operators import card as C, decide as D, judge as J, layout as L
 from palimpsest.plans.statement import read_statement
 from palimpsest.types import SPANS
 
@@ -109,3 +109,21 @@ def test_two_column_card(spark):
 def test_direction_is_checked():
     with pytest.raises(ValueError):
         D.Params([], direction="both")
+
+
+def test_judged_header(spark):
+    places = [(50, 110, "When"), (110, 110, "Who to"), (340, 110, "How much"), (510, 110, "Left"), (50, 140, "01 May"), (110, 140, "Tesco"), (340, 140, "45.20"), (510, 140, "954.80"), (50, 162, "02 May"), (110, 162, "Netflix"), (340, 162, "12.99"), (510, 162, "941.81")]
+    s = spans(spark, places)
+    roles = {"When": "date", "Who to": "description", "How much": "paid_out", "Left": "balance"}
+    pick = lambda lines: next(((k, 0.9) for k, p in enumerate(lines) if "When" in p), None)
+    st = read_statement(s, columns=J.judged_columns(s, pick, lambda texts: [roles.get(t) for t in texts]))
+    got = D.kept_total(st.decided(D.Params(["netflix"]))).first()
+    assert (got["kept_count"], got["total"]) == (1, Decimal("12.99"))
+    assert J.judged_columns(s, pick, lambda texts: ["description"] * len(texts)).count() == 0
+    assert read_statement(s).columns.count() == 0
+
+
+def test_judged_people(spark):
+    f = spark.createDataFrame([("d", 0, "PERSON", 50.0, False), ("d", 0, "PERSON", 120.0, False), ("d", 0, "PERSON", 140.0, False), ("d", 0, "PHONE_NUMBER", 150.0, False), ("d", 0, "IBAN_CODE", 160.0, True)], "doc_id string, page_no int, entity_type string, y0 double, structured boolean").selectExpr("*", "10.0D AS x0", "100.0D AS header_y")
+    chosen = spark.createDataFrame([("d", 0, 10.0, 120.0, "person", 0.9), ("d", 0, 10.0, 140.0, "merchant", 0.9)], "doc_id string, page_no int, x0 double, y0 double, choice string, confidence double")
+    assert sorted(r["y0"] for r in J.kept_people(f, chosen).collect()) == [50.0, 120.0, 160.0]
