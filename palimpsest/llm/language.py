@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from palimpsest.llm.scratch import least_hashed
+
 WINDOW = 24
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -175,7 +177,7 @@ def fit(docs: DataFrame, text: str, lang: str, sample_docs: int = 1500, sample_w
     pairs, weighted by occurrence, sample_windows. Languages come in the proportions of the sample.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    rows = rows.orderBy(F.xxhash64(F.lit(seed), "t", "l"), "l").limit(sample_docs)
+    rows = least_hashed(rows, sample_docs, "t", "l", seed=seed)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

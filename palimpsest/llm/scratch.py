@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def let_workers_import(spark: SparkSession) -> None:
@@ -35,6 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def least_hashed(df: DataFrame, n: int, *columns: str, seed: int = 0) -> DataFrame:
+    """At most n rows, those of the least seeded hashes of columns.
+
+    On larger tables a bound on the hash leaves about 2 n rows first, so that the last sort meets no more than that,
+    however many partitions there are.
+    """
+    h = F.xxhash64(F.lit(seed), *columns)
+    total = df.count()
+    if total > 4 * n:
+        df = df.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * n / total))
+    return df.orderBy(F.pmod(h, F.lit(1 << 40)), *columns).limit(n)
+
+
 class Scratch:
     """Parquet tables under the shared folder, one directory per job.
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.llm.scratch import Scratch
+from palimpsest.llm.scratch import Scratch, least_hashed
 
 FEATURES = ("length", "host_length", "path_length", "labels", "depth", "digit_ratio", "hyphens", "entropy", "params", "suffix_rate", "suffix_share")
 
@@ -178,7 +178,7 @@ def judge_urls(df: DataFrame, key: str, url: str, rules: list[Rule], sample: int
     prior = total["p"] if total["p"] is not None else 0.0
     stats = rows.groupBy("suffix").agg(((F.coalesce(F.sum("y"), F.lit(0)) + 20 * prior) / (F.count("y") + 20)).alias("suffix_rate"), (F.count(F.lit(1)) / max(total["n"], 1)).alias("suffix_share"))
     rows = rows.join(stats, "suffix", "left")
-    fit = scratch.save(rows.where("y is not null").orderBy("at", "id").limit(sample).select("y", *FEATURES), "fit")
+    fit = scratch.save(least_hashed(rows.where("y is not null"), sample, "at", seed=seed).select("y", *FEATURES), "fit")
     model = train(fit)
     score = model.predict()
     return rows.select(
