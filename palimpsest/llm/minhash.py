@@ -25,6 +25,7 @@ from palimpsest.llm.components import connected_components
 from palimpsest.llm.scratch import Scratch
 
 HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
+BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20_240_607)
 _MULT = (_rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1))[None, :]
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[None, :]
@@ -176,7 +177,10 @@ def _sets(scratch: Scratch, rows: DataFrame, members: DataFrame, classes: DataFr
             s = [shingle_set(words_of(t), words) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([class_id(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())], names=["cid", "shingles"])
 
-    texts = rows.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").select("text").where("text is not null")
+    few = wanted.count() <= BROADCAST_IDS
+    ids = wanted.select(F.col("rep").alias("id"))
+    # up to a fixed number of ids, 16 bytes each, go to the texts; beyond that the texts are shuffled to the ids
+    texts = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text").where("text is not null")
     made = texts.mapInArrow(make, "cid long, shingles binary")
     return scratch.save(made.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
 
