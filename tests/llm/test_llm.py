@@ -237,6 +237,16 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, labels.where("false"), "doc_id", "text", {"toxic": "toxic = 1"}) is None
 
 
+def test_toxicity_of_a_group_of_copies():
+    """A third of the rows are one toxic text, a third one clean text; none of their words stands elsewhere."""
+    texts = [" ".join(words(30, k)) for k in range(100)] + ["quiet rivers wander through meadows"] * 100 + ["vile brutish scum begone forever"] * 100
+    labels = np.array([[int(k >= 200)] for k in range(300)])
+    order = np.random.default_rng(2).permutation(300)
+    chain = toxicity.train([texts[k] for k in order], labels[order], ["toxic"])
+    p = chain.probabilities([*texts[:50], texts[150], texts[-1]])[:, 0]
+    assert p[-1] >= chain.thresholds[0] and p[-1] > 0.9 and (p[:-1] < chain.thresholds[0]).all()
+
+
 KIND = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
