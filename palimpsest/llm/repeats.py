@@ -1,14 +1,14 @@
 """Repeated passages by sparse suffix arrays.
 
-A text's suffixes are kept only at minimisers: of every `window` consecutive `gram`-word shingles the one of least
-hash, the last of equals. Two equal passages of at least `words` = window + gram - 1 words pick the same places, so
-each holds a kept suffix at the same offset. Suffixes whose gram occurs once are dropped; the rest are sorted by what
-follows, neighbours (the `near` nearest on either side) are compared, and matches are extended to the right and to the
-left, up to `reach` words either way. A match of `words` or more marks its words as repeated; a longer passage has a kept suffix every `window` words
-at most, so its marks join up.
-
-Suffixes are compared on 64-bit hashes of words. Equal texts are one class with one set of suffixes; a class of two or
-more rows is repeated as a whole if it has `words` words.
+Of every `window` consecutive `gram`-word shingles the one of least hash, the last of equals, is kept, and the words
+that follow it are a kept suffix. A passage of `words` = window + gram - 1 words is one such window and belongs to the
+suffix that it picks. Equal passages pick the same shingle at the same offset, so suffixes whose gram occurs once are
+dropped with all their passages. The rest are brought together by gram, and the passages of suffixes of one gram are
+counted: each that stands twice or more marks its words as repeated. A longer passage is a run of such passages, so its
+marks join up. No neighbour, context or length is bounded: every passage is compared with all that could equal it.
+
+Passages are compared on 64-bit hashes, made of their shingles' hashes. Equal texts are one class with one set of
+suffixes; a class of two or more rows is repeated as a whole if it has `words` words.
 """
 
 from __future__ import annotations
@@ -44,10 +44,27 @@ def grams_of(h: np.ndarray, gram: int) -> np.ndarray:
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
     """Places of the least gram of every window, the last of equals; none if there is no full window."""
+    return np.unique(picks(grams, window))
+
+
+def picks(grams: np.ndarray, window: int) -> np.ndarray:
+    """For every window, in order, the place of its least gram; the places never fall."""
     if len(grams) < window:
         return np.zeros(0, dtype=np.int64)
     view = np.lib.stride_tricks.sliding_window_view(grams[::-1], window)
-    return np.unique(len(grams) - 1 - (np.arange(len(view)) + _argmin(view)))
+    return (len(grams) - 1 - (np.arange(len(view)) + _argmin(view)))[::-1]
+
+
+def passages(grams: np.ndarray, gram: int, words: int) -> np.ndarray:
+    """A hash of every run of `words` words, from the grams that cover it."""
+    n, window = len(grams) - (words - gram), words - gram + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    x = np.zeros(n, dtype=np.uint64)
+    for at in [*range(0, window - 1, gram), window - 1]:
+        x = (x ^ grams[at : at + n]) * _PLACE[0]
+        x ^= x >> np.uint64(32)
+    return x
 
 
 def _argmin(view: np.ndarray) -> np.ndarray:
@@ -57,7 +74,11 @@ def _argmin(view: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gram: int = 16, reach: int = 64, runs: int = 256, near: int = 31) -> DataFrame:
+#: above this many rows, a passage is sent to the rows
+MANY = 10_000
+
+
+def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gram: int = 16, runs: int = 256) -> DataFrame:
     """(key, n_words, n_repeated, spans): one row per row of docs.
 
     spans is an array of (start, end) in words, end exclusive, merged and ascending: the words in passages of at least
@@ -65,7 +86,6 @@ def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gra
     words. Keys may be null or repeat. Extra columns are ignored; an empty table gives an empty result.
     """
     window = words - gram + 1
-    reach = max(reach, words)
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     rows = rows.withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")})
@@ -95,48 +115,42 @@ def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gra
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t, h1, h2, kept in zip(*(b.column(c).to_pylist() for c in ("t", "h1", "h2", "kept"))):
-                h = word_hashes(t).view(np.int64)
-                g = grams_of(h.view(np.uint64), gram)
-                at = minimisers(g, window)
-                at = at[np.isin(g[at].view(np.int64), kept)]
-                right = [h[p : p + reach] for p in at]
-                left = [h[max(0, p - reach) : p][::-1] for p in at]
+                g = grams_of(word_hashes(t), gram)
+                pick = picks(g, window)
+                held = np.isin(g[pick].view(np.int64), kept)
+                starts = np.flatnonzero(held)
+                at, first, n = np.unique(pick[starts], return_index=True, return_counts=True)
                 k = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h1] * k, pa.int64()), pa.array([h2] * k, pa.int64()), pa.array(g[at].view(np.int64)), pa.array(at.astype(np.int32)), pa.array(right, pa.list_(pa.int64())), pa.array(left, pa.list_(pa.int64()))],
-                    names=["h1", "h2", "gram", "at", "right", "left"],
-                )
+                own = pa.ListArray.from_arrays(pa.array(np.append(first, len(starts)).astype(np.int32)), pa.array(passages(g, gram, words)[starts].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([h1] * k, pa.int64()), pa.array([h2] * k, pa.int64()), pa.array(g[at].view(np.int64)), pa.array(starts[first].astype(np.int32)), own], names=["h1", "h2", "gram", "first", "own"])
 
     held = held.dropDuplicates(["h1", "h2"])
-    kept = scratch.save(held.mapInArrow(context, "h1 long, h2 long, gram long, at int, right array<long>, left array<long>"), "kept")
+    kept = scratch.save(held.mapInArrow(context, "h1 long, h2 long, gram long, first int, own array<long>"), "kept")
     n_parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     hot = scratch.save(often.where(F.col("times") > runs).select("gram"), "hot")
-    rare = kept.join(hot, "gram", "left_anti").repartition(n_parts, "gram").sortWithinPartitions("gram", "right", "left", "h1", "h2", "at")
-    # a frequent gram is split by range; the second order has other edges, so that no pair is lost at an edge of both
-    frequent = kept.join(hot, "gram", "left_semi")
-    by_right = ["gram", "right", "left", "h1", "h2", "at"]
-    by_left = ["gram", "left", "right", "h2", "h1", "at"]
-    orders = [rare, frequent.repartitionByRange(n_parts, *by_right).sortWithinPartitions(*by_right), frequent.repartitionByRange(n_parts + 1, *by_left).sortWithinPartitions(*by_left)]
+    rare = kept.join(hot, "gram", "left_anti").repartition(n_parts, "gram").sortWithinPartitions("gram")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            now = _Suffixes.of(b)
-            if last is not None:
-                now = last.followed_by(now)
-            for step in range(1, near + 1):
-                got = now.matches(step, words)
-                if got is None:
-                    break
-                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array(got[2].astype(np.int32)), pa.array(got[3].astype(np.int32))], names=["h1", "h2", "start", "end"])
-            last = now.tail(near)
-
-    marks = None
-    for order in orders:
-        found = order.select("gram", "h1", "h2", "at", "right", "left").mapInArrow(compare, "h1 long, h2 long, start int, end int")
-        marks = found if marks is None else marks.union(found)
+            now = pa.Table.from_batches([b]) if last is None else pa.concat_tables([last, pa.Table.from_batches([b])])
+            gram_ = now.column("gram").to_numpy()
+            cut = int(np.searchsorted(gram_, gram_[-1]))  # the last gram may go on in the next batch
+            yield from _repeated(now.slice(0, cut), words)
+            last = now.slice(cut).combine_chunks()
+        if last is not None:
+            yield from _repeated(last, words)
+
+    # a frequent gram's passages go by their own hashes, so that no task meets all of a gram; those above `MANY`, which
+    # are few, go to the rows instead
+    frequent = kept.join(hot, "gram", "left_semi").select("h1", "h2", "first", F.posexplode("own").alias("k", "w"))
+    again = scratch.save(frequent.groupBy("w").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "again")
+    many = F.broadcast(again.where(F.col("times") > MANY).select("w"))
+    twice = frequent.join(many, "w", "left_semi").unionByName(frequent.join(many, "w", "left_anti").join(again.where(F.col("times") <= MANY), "w", "left_semi"))
+    twice = twice.groupBy("h1", "h2", "first").agg((F.col("first") + F.min("k")).alias("start"), (F.col("first") + F.max("k") + words).alias("end"))
+    marks = rare.mapInArrow(compare, "h1 long, h2 long, start int, end int").unionByName(twice.select("h1", "h2", "start", "end"))
     marks = scratch.save(marks.groupBy("h1", "h2", "start").agg(F.max("end").alias("end")), "marks")
     merged = marks.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found")).select("h1", "h2", _merged(F.col("found")).alias("spans"))
     per = classes.join(merged, ["h1", "h2"], "left")
@@ -161,55 +175,21 @@ def _merged(found):
     return F.aggregate(found, empty, lambda a, s: F.when(F.size(a) == 0, F.array(F.struct(s.start.alias("start"), s.end.alias("end")))).otherwise(step(a, s)))
 
 
-class _Suffixes:
-    """Sorted suffixes with their contexts as padded matrices, whose last column holds the rows' lengths."""
-
-    def __init__(self, cols: dict[str, np.ndarray], right: np.ndarray, left: np.ndarray) -> None:
-        self.cols, self.right, self.left = cols, right, left
+def _repeated(t: pa.Table, words: int) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, start, end) of every suffix with a passage that stands twice in t, from the first of those to the last.
 
-    @classmethod
-    def of(cls, b: pa.RecordBatch) -> _Suffixes:
-        cols = {c: b.column(c).to_numpy() for c in ("gram", "h1", "h2", "at")}
-        return cls(cols, _padded(b.column("right")), _padded(b.column("left")))
-
-    def followed_by(self, b: _Suffixes) -> _Suffixes:
-        width = lambda x, y: max(x.shape[1], y.shape[1])
-        glue = lambda x, y: np.concatenate([_widened(x, width(x, y)), _widened(y, width(x, y))])
-        return _Suffixes({c: np.concatenate([self.cols[c], b.cols[c]]) for c in self.cols}, glue(self.right, b.right), glue(self.left, b.left))
-
-    def tail(self, n: int) -> _Suffixes:
-        return _Suffixes({c: x[-n:] for c, x in self.cols.items()}, self.right[-n:], self.left[-n:])
-
-    def matches(self, step: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """(h1, h2, start, end) of both suffixes of every pair `step` apart that share a passage of `words` words; None if no pair shares its gram."""
-        c = self.cols
-        i = np.flatnonzero(c["gram"][:-step] == c["gram"][step:])
-        if not len(i):
-            return None
-        right = _common(self.right[i], self.right[i + step])
-        left = _common(self.left[i], self.left[i + step])
-        ok = right + left >= words
-        both = np.concatenate([i[ok], i[ok] + step])
-        at = c["at"][both].astype(np.int64)
-        return c["h1"][both], c["h2"][both], at - np.tile(left[ok], 2), at + np.tile(right[ok], 2)
-
-
-def _padded(lists: pa.Array) -> np.ndarray:
-    n = np.diff(lists.offsets.to_numpy())
-    out = np.full((len(n), int(n.max(initial=1))), -1, dtype=np.int64)
-    out[np.arange(out.shape[1])[None, :] < n[:, None]] = lists.flatten().to_numpy()
-    return np.concatenate([out, n[:, None]], axis=1)
-
-
-def _widened(x: np.ndarray, width: int) -> np.ndarray:
-    if x.shape[1] == width:
-        return x
-    fill = np.full((len(x), width - x.shape[1]), -1, dtype=np.int64)
-    return np.concatenate([x[:, :-1], fill, x[:, -1:]], axis=1)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words that each row of a and of b share from the start; the last column holds the rows' lengths."""
-    same = a[:, :-1] == b[:, :-1]
-    first = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
-    return np.minimum(first, np.minimum(a[:, -1], b[:, -1]))
+    A suffix's passages all hold its gram, so those between are covered.
+    """
+    if not t.num_rows:
+        return
+    own = t.column("own").combine_chunks()
+    n = np.diff(own.offsets.to_numpy())
+    _, which, times = np.unique(own.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    found = np.flatnonzero(times[which] > 1)
+    row = np.repeat(np.arange(len(n)), n)[found]
+    place = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))[found]
+    rows, at, count = np.unique(row, return_index=True, return_counts=True)
+    first = t.column("first").to_numpy()[rows].astype(np.int64)
+    start, end = first + place[at], first + place[at + count - 1] + words
+    h1, h2 = (t.column(c).to_numpy()[rows] for c in ("h1", "h2"))
+    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["h1", "h2", "start", "end"])

@@ -305,6 +305,20 @@ def test_repeats(spark):
     assert repeats.repeated_passages(frame(spark, []), "doc_id", "text").count() == 0
 
 
+def test_repeats_in_a_crowd(spark, monkeypatch):
+    """120 texts share a run of words; pairs of them share words before it, too far apart in any order to be neighbours."""
+    monkeypatch.setattr(repeats, "MANY", 50, raising=False)
+    shared = words(60, 4000)
+    rows = [(k, " ".join(words(40, 5000 + k) + words(20, 6000 + k % 60) + shared + words(40, 7000 + k))) for k in range(120)]
+    rows += [(200 + k, " ".join(words(40, 8000 + k) + words(15, 9000 + k % 60) + shared[:40] + words(40, 9500 + k))) for k in range(120)]
+    for runs in (4, 256):
+        got = repeats.repeated_passages(frame(spark, [(a, b, "x", 1) for a, b in rows]), "doc_id", "text", runs=runs).collect()
+        every = {k: t.split() for k, t in rows}
+        count = Counter(tuple(w[i : i + 50]) for w in every.values() for i in range(len(w) - 49))
+        want = {k: {j for i in range(len(w) - 49) if count[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)} for k, w in every.items()}
+        assert {r["doc_id"]: {j for s in r["spans"] for j in range(s["start"], s["end"])} for r in got} == want
+
+
 def test_leaks(spark):
     items = [(k, " ".join(words(40 + k, 800 + k)), 1) for k in range(12)] + [(50, None, 1), (51, "too short", 1)]
     rows = []
