@@ -25,9 +25,22 @@ def _unit(values: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(vectors: DataFrame, vector: str, pivots: int, seed: int = 11) -> np.ndarray:
-    """At most `pivots` different unit vectors, those of the least seeded hashes; the rest of the index is not sampled."""
-    rows = vectors.select(vector).distinct().orderBy(F.xxhash64(F.lit(seed), vector), vector).limit(pivots).collect()
-    return _unit(np.array([r[0] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
+    """At most `pivots` different unit vectors, farthest first from a sample of 16 times as many of the least seeded hashes.
+
+    Each is the one that the pivots before it are least near to, so a cluster of near vectors gets one, not its share
+    of the rows: among many pivots of one cluster the nearest few would be arbitrary. The rest of the index is not sampled.
+    """
+    rows = vectors.select(vector).distinct().orderBy(F.xxhash64(F.lit(seed), vector), vector).limit(16 * pivots).collect()
+    if not rows:
+        return np.zeros((0, 1))
+    u = _unit(_scaled(np.array([r[0] for r in rows], dtype=np.float64)))
+    chosen, nearest = [0], u @ u[0]
+    nearest[0] = np.inf
+    while len(chosen) < min(pivots, len(u)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, u @ u[chosen[-1]])
+        nearest[chosen[-1]] = np.inf
+    return u[chosen]
 
 
 def near_vectors(df: DataFrame, key: str, vector: str, group: str, threshold: float = 0.93, pivots: int = 128, prefix: int = 8, min_shared: int = 2, block: int = 256) -> DataFrame:

@@ -114,6 +114,18 @@ def test_near_vectors(spark):
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int"), "vec_id", "embedding", "label").count() == 0
 
 
+def test_near_vectors_of_a_hot_cluster(spark):
+    """A third of the rows are one cluster of near copies."""
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.normal(size=16) + r.normal(scale=0.1, size=(500, 16)), r.normal(size=(1000, 16))])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.93).sum(axis=1) - 1
+    rows = [(k, x.tolist(), 1) for k, x in enumerate(v)]
+    got = pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id", "embedding", "label", 0.93).collect()
+    assert all(x["n_links"] <= want[x["vec_id"]] for x in got)
+    assert sum(x["n_links"] for x in got) >= 0.97 * want.sum()
+
+
 def test_shuffle(spark):
     rows = corpus()
     got = sharding.two_pass_shuffle(frame(spark, rows), "doc_id", "text", shards=5).collect()
