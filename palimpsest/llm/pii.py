@@ -61,8 +61,8 @@ def _context(before: Column) -> Column:
 SPAN = "array<struct<start:int,end:int,x:string,ctx:string>>"
 
 
-def _found(text: Column, pattern: str, keep) -> Column:
-    """Every match that keep() holds for: start and end in code points, its text, its context."""
+def _found(text: Column, pattern: str, keep=None) -> Column:
+    """Every match, or every one that keep() holds for: start and end in code points, its text, its context."""
     parts = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(parts, 1, F.size(hits)), hits, lambda p, x: F.struct(p.alias("p"), x.alias("x")))
@@ -73,7 +73,7 @@ def _found(text: Column, pattern: str, keep) -> Column:
         end = start + F.length(m.x)
         # m.p starts after the last match, which is no part of the context
         span = F.struct(start.alias("start"), end.alias("end"), m.x.alias("x"), _context(m.p).alias("ctx"))
-        return F.struct(end.alias("at"), F.when(keep(m.x), F.array_append(a.out, span)).otherwise(a.out).alias("out"))
+        return F.struct(end.alias("at"), (F.array_append(a.out, span) if keep is None else F.when(keep(m.x), F.array_append(a.out, span)).otherwise(a.out)).alias("out"))
 
     return F.aggregate(pairs, zero, step, lambda a: a.out)
 
@@ -117,7 +117,7 @@ def find_pii(docs: DataFrame, key: str, text: str, rounds: int = 3, accept: floa
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("rid", F.xxhash64("id", "t"))
     found = base_spans(F.col("t"))
-    tokens = F.when(F.rlike(F.col("t"), F.lit("[0-9@]")), _found(F.col("t"), TOKEN, lambda x: (F.length(x) >= 6) & (F.length(F.regexp_replace(x, "[^0-9@]", "")) >= 4))).otherwise(F.array().cast(SPAN))
+    tokens = F.when(F.rlike(F.col("t"), F.lit("[0-9@]")), _found(F.col("t"), TOKEN)).otherwise(F.array().cast(SPAN))
     base = scratch.save(rows.select("id", "rid", *[c.alias(k) for k, c in found.items()], tokens.alias("tokens")), "base")
 
     added = _discover(scratch, base, rounds, accept, support)

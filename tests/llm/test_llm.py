@@ -301,6 +301,15 @@ def test_patterns_discover(spark):
     assert out[100] == out[0] == "Please contact me at [email] today" and out[101] == rows[-1][1]
 
 
+def test_patterns_discover_short_instances(spark):
+    """One at sign or one digit makes an instance, however short the token."""
+    short = ["jane.doe@intranet", "k7", "user1", "9"]
+    rows = [(k, f"Please contact me at user{k}@mail{k}.example.com today", None, 1) for k in range(20)]
+    rows += [(100 + k, f"Please contact me at {x} today", None, 1) for k, x in enumerate(short)] + [(200, "room 12 on floor 3, write to a@b", None, 1)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, rows), "doc_id", "text").collect()}
+    assert [got[100 + k] for k in range(len(short))] == [f"email:21:{21 + len(x)}" for x in short] and got[200] == ""
+
+
 def test_repeats(spark):
     passage = words(70, 77)
     rows = [(k, " ".join(words(90, 500 + k) + (passage if k % 3 == 0 else []) + words(30, 600 + k))) for k in range(24)]
