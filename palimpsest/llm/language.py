@@ -173,8 +173,8 @@ def train(windows: list[bytes], langs_of: list[str], hidden: int = 16, epochs: i
 def fit(docs: DataFrame, text: str, lang: str, sample_docs: int = 1500, sample_windows: int = 40_000, seed: int = 17) -> Network | None:
     """A network from docs' labelled rows; None if no row has a language and a letter.
 
-    Bounded: the sample_docs rows of the least hashes of their texts, and of those rows' different (language, window)
-    pairs, weighted by occurrence, sample_windows. Languages come in the proportions of the sample.
+    Bounded: the sample_docs different rows of the least hashes of their texts, and of those rows' different (language,
+    window) pairs, weighted by occurrence, sample_windows. Languages come in the proportions of the sample.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     rows = least_hashed(rows, sample_docs, "t", "l", seed=seed)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, language, minhash, packing, pii, pivots, repeats, sharding, tokens, toxicity, urls
 from palimpsest.llm.components import connected_components
-from palimpsest.llm.scratch import Scratch
+from palimpsest.llm.scratch import Scratch, least_hashed
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, extra int"
@@ -223,6 +223,15 @@ def test_language(spark):
     assert language.identify(frame(spark, []), None, "text").count() == 0
 
 
+def test_samples_differ(spark):
+    """Copies take one place of a sample, and few different rows among many copies are all found."""
+    few = spark.range(3000).selectExpr("concat('t', id % 3) AS t", "'aa' AS l")
+    crowd = spark.range(5000).selectExpr("IF(id < 100, concat('t', id), concat('c', id % 2)) AS t", "'aa' AS l")
+    for seed in range(4):
+        assert sorted(r["t"] for r in least_hashed(few, 10, "t", "l", seed=seed).collect()) == ["t0", "t1", "t2"]
+        assert len({r["t"] for r in least_hashed(crowd, 10, "t", "l", seed=seed).collect()}) == 10
+
+
 def test_gradients():
     net = language.train([b"ab", b"ba"], ["x", "y"], hidden=3, epochs=1)
     d = net.ahead
