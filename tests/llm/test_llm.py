@@ -152,6 +152,17 @@ def test_ids_equal_tokenizers():
         assert np.frombuffer(enc(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_hold_added_tokens(spark):
+    """The ids are those of tokenizers as it comes, which takes <|endoftext|> for one token."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [*HARD, "a <|endoftext|> b<|endoftext|>", "<|endoftext|><|endoftext|>\n", "<|endoftext", "x  <|endoftext|>  y"]
+    p = tokens.token_pieces(frame(spark, [(k, x, "xx", 1) for k, x in enumerate(texts)]), path, with_ids=True)
+    assert {r["doc_id"]: r["ids"] for r in p.collect()} == {k: t.encode(x, add_special_tokens=False).ids + [2] for k, x in enumerate(texts)}
+
+
 def test_pieces_and_packing(spark):
     rows = corpus() + [(900, " ".join(words(2500, 9)), "xx", 1)]
     p = tokens.token_pieces(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), size=64, with_ids=True)
