@@ -203,7 +203,7 @@ def p31_error_category(spark, sf_dir):
 
 @query
 def p32_sanitize(spark, sf_dir):
-    return bridge.read(spark, sf_dir, "documents").select("doc_id", P.sanitise_name(F.substring("text", 1, 200)).alias("name"))
+    return bridge.read(spark, sf_dir, "documents").select("doc_id", P.sanitise_name(F.col("text")).alias("name"))
 
 
 @query

@@ -99,3 +99,11 @@ def test_stream_equals_batch(spark, tmp_path):
 @pytest.mark.parametrize("text, want", [("a, ,b", ["a", "b"]), ("", [])])
 def test_keywords(text, want):
     assert P.parse_keywords(text) == want
+
+
+def test_sanitize_reads_whole_texts(spark, tmp_path):
+    from palimpsest.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "é" * 300 + "abc " + "x" * 70), (2, "plain")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["name"] for r in QUERIES["p32_sanitize"](spark, str(tmp_path)).collect()}
+    assert got == {1: "abc " + "x" * 56, 2: "plain"}
