@@ -26,22 +26,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return labelled.withColumn("lang", F.coalesce("lang", "_lang")).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key: doc_id, or where that is null a hash of the row from 2 ** 62 up, above any doc_id."""
+    row = F.xxhash64(*[c for c in COLUMNS if c != "doc_id"])
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), row.bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group; similarity 0.8 of five-word shingles.
 
     Equal rows are one document. Rows that share a doc_id but not a text all stay, if it is their group's smallest.
+    Rows without a doc_id are judged too, after those with one.
     """
-    groups = near_documents(docs, "doc_id", "text", words=5, percent=80)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
-    return left
+    docs = _keyed(docs)
+    groups = near_documents(docs, "_key", "text", words=5, percent=80)
+    gone = groups.where(~F.col("kept")).select(F.col("_key").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    if docs.groupBy("_key").count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates(["_key", "text"])
+    return left.select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    return without_leaks(docs, find_leaks(docs, table(spark, sf_dir, "benchmark"))).select(*COLUMNS)
+    """Drops documents that hold a benchmark item, with a doc_id or without."""
+    docs = _keyed(docs)
+    return without_leaks(docs, find_leaks(docs, table(spark, sf_dir, "benchmark"), key="_key"), "_key").select(*COLUMNS)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

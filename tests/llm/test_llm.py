@@ -415,3 +415,16 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     text = next(r[1] for r in rows if r[0] == 501).replace("bob@x.example.com", "[email]")
     assert sum(r["length"] for r in got if r["doc_id"] == 501) == len(enc(text)) // 4 + 1
+
+
+def test_pipeline_judges_null_ids(spark, tmp_path):
+    """Copies and leaks go whether they have a doc_id or not."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item, a, b = (" ".join(words(60, k)) for k in (4400, 4401, 4402))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, "intro " + item), (2, " ".join(words(60, 4403)))]
+    docs = spark.createDataFrame([(k, t, "xx", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    once = pipeline.near_duplicates(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    left = pipeline.decontaminate(spark, once, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter([(1, a), (None, b), rows[-1]])
