@@ -89,6 +89,24 @@ def test_near_documents(spark, size, percent):
     assert minhash.near_documents(frame(spark, []), "doc_id", "text").count() == 0
 
 
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    """5,000 near copies of one text: at most two pairs a member are tested with leaders, and all of them link."""
+    base, tested, real = words(80, 31), [], minhash._led
+    rows = []
+    for k in range(5000):
+        t = list(base)
+        t[k % 80] = f"edit{k // 80}"
+        rows.append((k, " ".join(t), "xx", 1))
+
+    def counted(scratch, pairs, *rest):
+        tested.append(pairs.count())
+        return real(scratch, pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_led", counted)
+    got = minhash.near_documents(frame(spark, rows), "doc_id", "text", words=3, percent=85).collect()
+    assert sum(tested) <= 2 * len(rows) and all(r["component_id"] == 0 for r in got) and len(got) == len(rows)
+
+
 def test_bayes_bounds():
     least = minhash.least_matches(0.85, 1e-4)
     assert len(least) == 4 and least == sorted(least) and 85 < least[-1] < 109
