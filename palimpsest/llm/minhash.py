@@ -32,6 +32,8 @@ from palimpsest.llm.scratch import Scratch
 
 HASHES, BANDS, ROWS, BATCH = 128, 25, 5, 32
 TURNS = 3
+#: up to this many ids, of 16 bytes each, are sent to the texts; beyond it the texts are shuffled to the ids
+BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20_240_607)
 _MULT = (_rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1))[None, :]
 _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[None, :]
@@ -185,8 +187,9 @@ def _sets(scratch: Scratch, rows: DataFrame, members: DataFrame, classes: DataFr
             sig = [signature(x).astype(np.uint16).tobytes() if len(x) else None for x in s]
             yield pa.RecordBatch.from_arrays([pa.array([class_id(x) for x in s], pa.int64()), pa.array(sig, pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], names=["cid", "sig", "shingles"])
 
-    # the ids are a written table of 16 bytes a row, so Spark knows its size and sends it to the texts while it is small
-    texts = rows.join(wanted.select(F.col("rep").alias("id")), "id", "left_semi").select("text").where("text is not null")
+    ids = wanted.select(F.col("rep").alias("id"))
+    few = ids.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text").where("text is not null")
     made = texts.mapInArrow(make, FULL)
     return scratch.save(made.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
 
