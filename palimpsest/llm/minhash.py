@@ -143,6 +143,7 @@ def near_documents(docs: DataFrame, key: str, text: str, words: int = 5, percent
 
     pairs = members.where("cid <> leader").groupBy("cid").agg(F.min(F.struct("leader", "size")).alias("l")).select("cid", "l.leader", "l.size")
     heads = members.groupBy("leader").agg(F.max("size").alias("size"))
+    pairs, heads = scratch.save(pairs, "pairs"), scratch.save(heads, "heads")  # so that Spark knows their sizes
     parts = _joined(scratch, None, _led(scratch, pairs, heads, full, least, percent, block))
     for turn in range(1, TURNS + 1):
         placed, mixed = _mixed(scratch, members, parts, turn)
@@ -151,6 +152,7 @@ def near_documents(docs: DataFrame, key: str, text: str, words: int = 5, percent
         outside = placed.join(mixed.select("bucket", "major", "rep"), "bucket").where("comp <> major")
         pairs = outside.groupBy("cid").agg(F.min(F.struct("rep", "size")).alias("l")).select("cid", F.col("l.rep").alias("leader"), "l.size")
         heads = mixed.groupBy(F.col("rep").alias("leader")).agg(F.max("size").alias("size"))
+        pairs, heads = scratch.save(pairs, "pairs"), scratch.save(heads, "heads")
         parts = _joined(scratch, parts, _led(scratch, pairs, heads, full, least, percent, block))
     if mixed is not None:
         parts = _joined(scratch, parts, _visits(scratch, placed, mixed, full, least, percent, block))

@@ -4,7 +4,8 @@ Each partition packs its pieces by best-fit decreasing and compares the number o
 feasible functions. A partition that meets its bound is certified: no packing of those pieces does better. The others
 have a gap; their bins that are not full, and the emptiest bin of every partition, go to a pool that is dealt out anew
 (whole bins together, so that the packing so far stays valid) and packed again. A rerun is taken only if it needs fewer
-bins. Rounds end when the pool fits one partition, or after `rounds`.
+bins. Rounds end when the pool fits one partition, or after `rounds`. A table of at most `part_rows` pieces is one
+best-fit decreasing pass. The bound of the whole table, from its lengths' counts, goes with every row.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ PART, BIN, OPEN = "_pack_part", "_pack_bin", "_pack_open"
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs: the best of three families of dual feasible functions, over all useful thresholds.
+    """Bins that any packing of lengths needs."""
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
 
-    u_k (rounding with k), the threshold family that lifts lengths above capacity - t to a whole bin and drops those
-    below t, and the identity. Computed on the histogram of lengths, so it costs capacity^2 at most.
+
+def bound_of(count: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs of count[n] pieces of length n: the best of three families of dual feasible functions.
+
+    Those are u_k (rounding with k), the threshold family that lifts lengths above capacity - t to a whole bin and drops
+    those below t, and the identity. It costs 200 * capacity at most, however many pieces there are.
     """
-    if not len(lengths):
+    if not count.sum():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     # threshold family: sizes over capacity - t fill a bin, sizes in [t, capacity - t] count as they are
@@ -91,23 +96,27 @@ def _pack_group(t: pa.Table, capacity: int, round_no: int, names: list[str]) ->
     return t.append_column(OPEN, pa.array(again[at]))
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, part_rows: int = 65_536, min_parts: int = 32, rounds: int = 4) -> DataFrame:
-    """pieces' columns with sequence_id long and offset long; needs a length column of 1 to capacity.
+def pack(pieces: DataFrame, capacity: int = 1024, part_rows: int = 65_536, rounds: int = 4) -> DataFrame:
+    """pieces' columns with sequence_id long, offset long and lower_bound long; needs a length column of 1 to capacity.
 
-    All other columns travel along; those that are not nested order pieces of equal length, so that a retried task packs alike. Columns
-    named sequence_id or offset are replaced. Pieces whose length is null or out of range raise an error. An empty
-    table gives an empty result.
+    lower_bound is the number of sequences that any packing of the whole table needs, the same in every row. All other
+    columns travel along; those that are not nested order pieces of equal length, so that a retried task packs alike.
+    Rows that repeat are packed each. Columns named sequence_id, offset or lower_bound are replaced. Pieces whose
+    length is null or out of range raise an error. An empty table gives an empty result.
     """
     scratch = Scratch(pieces.sparkSession, "pack")
-    base = pieces.drop("sequence_id", "offset", PART, BIN, OPEN)
+    base = pieces.drop("sequence_id", "offset", "lower_bound", PART, BIN, OPEN)
     names = base.columns
     seen = F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.lit(f"length must be 1 to {capacity}")))
     base = scratch.save(base.withColumn("length", seen.cast("long")), "pieces")
-    n = base.count()
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for r in base.groupBy("length").count().collect():  # capacity rows at most
+        counts[r["length"]] = r["count"]
+    bound, n = bound_of(counts, capacity), int(counts.sum())
     todo = base.withColumn(BIN, F.xxhash64(*names))
     done: list[DataFrame] = []
     for r in range(rounds):
-        parts = max(min_parts, math.ceil(n / part_rows)) if not r else 1 if n <= part_rows else max(min_parts // 2, math.ceil(n / part_rows))
+        parts = max(1, math.ceil(n / part_rows))
         dealt = todo.withColumn(PART, F.pmod(F.xxhash64(F.lit(r), BIN), F.lit(parts)).cast("int"))
         schema = T.StructType([*dealt.schema.fields, T.StructField(OPEN, T.BooleanType())])
         packed = scratch.save(dealt.groupBy(PART).applyInArrow(_packer(capacity, r, names), schema), f"round{r}")
@@ -120,7 +129,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, part_rows: int = 65_536, min_p
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return _offsets(out, names)
+    return _offsets(out, names).withColumn("lower_bound", F.lit(bound).cast("long"))
 
 
 def _offsets(packed: DataFrame, names: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 import zlib
 from array import array
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, types as T
 # Fixed value: the public byte-level pre-tokenizer pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+LONG = 1000
+_LONG_SPACE = re.compile(rf"\s{{{LONG}}}")
+
 assert sys.byteorder == "little" and array("I").itemsize == 4
 PIECE_SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
@@ -34,7 +38,8 @@ class Encoder:
     The tokenizers file gives the vocabulary and merge order; encoding runs through tiktoken's BPE over the same
     ranks, five times as fast, which gives the ids that tokenizers gives (tests hold the two against each other).
     With `added`, a string of the file's added tokens is that token, as tokenizers has it by default; otherwise it is
-    ordinary text, as under its encode_special_tokens.
+    ordinary text, as under its encode_special_tokens. A text with a run of `LONG` characters of white space goes to
+    tokenizers itself, for the pattern's look-ahead overflows tiktoken's stack in a very long run.
     """
 
     def __init__(self, path: str, added: bool = False) -> None:
@@ -49,13 +54,25 @@ class Encoder:
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
         self.added = frozenset(special) if added else frozenset()
+        self.path, self.plain = path, None
 
     def __call__(self, text: str) -> bytes:
+        if _LONG_SPACE.search(text):
+            return array("I", self._tokenizer().encode(text, add_special_tokens=False).ids).tobytes()
         if any(x in text for x in self.added):
             return array("I", self.bpe.encode(text, allowed_special=self.added, disallowed_special=())).tobytes()
         return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
 
+    def _tokenizer(self):
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+            self.plain.encode_special_tokens = not self.added
+        return self.plain
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -70,7 +87,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id:
 
     A document of at most size ids is one piece; a longer one is cut so that every piece but the first has exactly
     size ids. A null text counts as empty, so every row gives a piece at least; doc_id may be null or repeat. With
-    with_ids the rows carry the ids themselves. Extra columns are ignored.
+    with_ids the rows carry the ids themselves. Texts are encoded whole, however long. Extra columns are ignored; an
+    empty table gives an empty result.
     """
     schema = T.StructType([*PIECE_SCHEMA.fields, *([T.StructField("ids", T.ArrayType(T.LongType()))] if with_ids else [])])
     end = np.asarray([end_id], dtype="<u4").tobytes()
