@@ -1,14 +1,20 @@
 """Repeated passages by sparse suffix arrays.
 
-Of every `window` consecutive `gram`-word shingles the one of least hash, the last of equals, is kept, and the words
-that follow it are a kept suffix. A passage of `words` = window + gram - 1 words is one such window and belongs to the
+Of every `window` consecutive `gram`-word shingles the one of least hash, the last of equals, is kept, and the suffix
+that starts there is retained. A passage of `words` = window + gram - 1 words is one such window and belongs to the
 suffix that it picks. Equal passages pick the same shingle at the same offset, so suffixes whose gram occurs once are
-dropped with all their passages. The rest are brought together by gram, and the passages of suffixes of one gram are
-counted: each that stands twice or more marks its words as repeated. A longer passage is a run of such passages, so its
-marks join up. No neighbour, context or length is bounded: every passage is compared with all that could equal it.
-
-Passages are compared on 64-bit hashes, made of their shingles' hashes. Equal texts are one class with one set of
-suffixes; a class of two or more rows is repeated as a whole if it has `words` words.
+dropped with all their passages. The rest are sorted by gram and the words that follow, and neighbours are compared:
+their longest common prefixes cut the sorted order, for every number of words to the right, into runs of suffixes that
+agree so far. Within a run a match is extended to the left: suffixes that agree in the words to the left that make up
+`words` hold the same passage, and its words are marked as repeated. Every run is looked at, for every split of a
+passage, so no neighbour, context or length is bounded and none is missed. A longer passage is a run of such passages,
+so its marks join up.
+
+A gram of more than `runs` suffixes would be one task's work; its suffixes' passages are counted by their hashes
+instead, each passage by itself, which gives the same marks.
+
+Words are compared by 32 bits of their hashes, and passages by 64 bits of theirs. Equal texts are one class with one set
+of suffixes; a class of two or more rows is repeated as a whole if it has `words` words.
 """
 
 from __future__ import annotations
@@ -17,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from palimpsest.llm.minhash import words_of
 from palimpsest.llm.scratch import Scratch
@@ -55,18 +62,6 @@ def picks(grams: np.ndarray, window: int) -> np.ndarray:
     return (len(grams) - 1 - (np.arange(len(view)) + _argmin(view)))[::-1]
 
 
-def passages(grams: np.ndarray, gram: int, words: int) -> np.ndarray:
-    """A hash of every run of `words` words, from the grams that cover it."""
-    n, window = len(grams) - (words - gram), words - gram + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    x = np.zeros(n, dtype=np.uint64)
-    for at in [*range(0, window - 1, gram), window - 1]:
-        x = (x ^ grams[at : at + n]) * _PLACE[0]
-        x ^= x >> np.uint64(32)
-    return x
-
-
 def _argmin(view: np.ndarray) -> np.ndarray:
     out = np.empty(len(view), dtype=np.int64)
     for at in range(0, len(view), 8192):
@@ -74,16 +69,17 @@ def _argmin(view: np.ndarray) -> np.ndarray:
     return out
 
 
-#: above this many rows, a passage is sent to the rows
+#: passages that stand more often than this are sent to the rows that hold them
 MANY = 10_000
 
 
-def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gram: int = 16, runs: int = 256) -> DataFrame:
+def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gram: int = 16, runs: int = 4096) -> DataFrame:
     """(key, n_words, n_repeated, spans): one row per row of docs.
 
     spans is an array of (start, end) in words, end exclusive, merged and ascending: the words in passages of at least
     `words` words that stand elsewhere too, in another text or at another place of the same one. A null text has no
-    words. Keys may be null or repeat. Extra columns are ignored; an empty table gives an empty result.
+    words. Texts are read whole, however long. Which of equal shingles is kept does not change the marks. Keys may be
+    null or repeat; rows of equal texts get equal spans. Extra columns are ignored; an empty table gives an empty result.
     """
     window = words - gram + 1
     scratch = Scratch(docs.sparkSession, "repeats")
@@ -115,20 +111,23 @@ def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gra
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t, h1, h2, kept in zip(*(b.column(c).to_pylist() for c in ("t", "h1", "h2", "kept"))):
-                g = grams_of(word_hashes(t), gram)
+                h = word_hashes(t)
+                g = grams_of(h, gram)
                 pick = picks(g, window)
-                held = np.isin(g[pick].view(np.int64), kept)
-                starts = np.flatnonzero(held)
+                starts = np.flatnonzero(np.isin(g[pick].view(np.int64), kept))
                 at, first, n = np.unique(pick[starts], return_index=True, return_counts=True)
-                k = len(at)
-                own = pa.ListArray.from_arrays(pa.array(np.append(first, len(starts)).astype(np.int32)), pa.array(passages(g, gram, words)[starts].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([h1] * k, pa.int64()), pa.array([h2] * k, pa.int64()), pa.array(g[at].view(np.int64)), pa.array(starts[first].astype(np.int32)), own], names=["h1", "h2", "gram", "first", "own"])
+                code = (h >> np.uint64(32)).astype("<u4")
+                ahead, back, k = code.tobytes(), code[::-1].tobytes(), len(at)
+                lo, hi = starts[first], starts[first] + n - 1  # the first and last passage that pick the suffix
+                left = [back[4 * (len(h) - p) : 4 * (len(h) - x)] for p, x in zip(at.tolist(), lo.tolist())]
+                right = [ahead[4 * (p + gram) : 4 * (y + words)] for p, y in zip(at.tolist(), hi.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([h1] * k, pa.int64()), pa.array([h2] * k, pa.int64()), pa.array(g[at].view(np.int64)), pa.array(at.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h1", "h2", "gram", "place", "left", "right"])
 
     held = held.dropDuplicates(["h1", "h2"])
-    kept = scratch.save(held.mapInArrow(context, "h1 long, h2 long, gram long, first int, own array<long>"), "kept")
-    n_parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = scratch.save(held.mapInArrow(context, "h1 long, h2 long, gram long, place int, left binary, right binary"), "kept")
+    n_parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // 500_000))
     hot = scratch.save(often.where(F.col("times") > runs).select("gram"), "hot")
-    rare = kept.join(hot, "gram", "left_anti").repartition(n_parts, "gram").sortWithinPartitions("gram")
+    rare = kept.join(hot, "gram", "left_anti").repartition(n_parts, "gram").sortWithinPartitions("gram", "right")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -138,21 +137,36 @@ def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gra
             now = pa.Table.from_batches([b]) if last is None else pa.concat_tables([last, pa.Table.from_batches([b])])
             gram_ = now.column("gram").to_numpy()
             cut = int(np.searchsorted(gram_, gram_[-1]))  # the last gram may go on in the next batch
-            yield from _repeated(now.slice(0, cut), words)
+            yield from _repeated(now.slice(0, cut), words, gram)
             last = now.slice(cut).combine_chunks()
         if last is not None:
-            yield from _repeated(last, words)
+            yield from _repeated(last, words, gram)
 
-    # a frequent gram's passages go by their own hashes, so that no task meets all of a gram; those above `MANY`, which
-    # are few, go to the rows instead
-    frequent = kept.join(hot, "gram", "left_semi").select("h1", "h2", "first", F.posexplode("own").alias("k", "w"))
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = words - gram
+            (l_codes, l_n), (r_codes, r_n) = _codes(b.column("left"), n), _codes(b.column("right"), n)
+            l_hash, r_hash = _growing(l_codes), _growing(r_codes)
+            for d in range(n + 1):
+                at = np.flatnonzero((l_n >= n - d) & (r_n >= d))
+                w = _mixed(_mixed(b.column("gram").to_numpy()[at].view(np.uint64), l_hash[n - d][at]), r_hash[d][at])
+                own = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([own.column("h1"), own.column("h2"), own.column("place"), pa.array((own.column("place").to_numpy() - (n - d)).astype(np.int32)), pa.array(w.view(np.int64))], names=["h1", "h2", "place", "start", "w"])
+
+    frequent = scratch.save(kept.join(hot, "gram", "left_semi").mapInArrow(spell, "h1 long, h2 long, place int, start int, w long"), "frequent")
     again = scratch.save(frequent.groupBy("w").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "again")
-    many = F.broadcast(again.where(F.col("times") > MANY).select("w"))
-    twice = frequent.join(many, "w", "left_semi").unionByName(frequent.join(many, "w", "left_anti").join(again.where(F.col("times") <= MANY), "w", "left_semi"))
-    twice = twice.groupBy("h1", "h2", "first").agg((F.col("first") + F.min("k")).alias("start"), (F.col("first") + F.max("k") + words).alias("end"))
+    # at most a million passages stand more often than `many`, so what is broadcast is bounded
+    many = max(MANY, (again.agg(F.sum("times")).first()[0] or 0) // 1_000_000)
+    sent = F.broadcast(again.where(F.col("times") > many).select("w"))
+    twice = frequent.join(sent, "w", "left_semi").unionByName(frequent.join(sent, "w", "left_anti").join(again.where(F.col("times") <= many), "w", "left_semi"))
+    twice = twice.groupBy("h1", "h2", "place").agg(F.min("start").alias("start"), (F.max("start") + words).alias("end"))
     marks = rare.mapInArrow(compare, "h1 long, h2 long, start int, end int").unionByName(twice.select("h1", "h2", "start", "end"))
     marks = scratch.save(marks.groupBy("h1", "h2", "start").agg(F.max("end").alias("end")), "marks")
-    merged = marks.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found")).select("h1", "h2", _merged(F.col("found")).alias("spans"))
+    in_text = Window.partitionBy("h1", "h2").orderBy("start")
+    before = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
+    runs_ = marks.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(in_text))
+    runs_ = runs_.groupBy("h1", "h2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    merged = runs_.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     per = classes.join(merged, ["h1", "h2"], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("end")))
@@ -162,34 +176,52 @@ def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gra
     return out.select(F.col("id").alias(key), F.col("n").alias("n_words"), size.alias("n_repeated"), "spans")
 
 
-def _merged(found):
-    """Ascending spans with those that overlap or touch joined."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+def _codes(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of at most width words, padded with zeros, and their numbers of words."""
+    n = np.array(pa.compute.binary_length(column)) // 4
+    out = np.zeros((len(n), width), dtype=np.uint32)
+    out[np.arange(width)[None, :] < n[:, None]] = np.frombuffer(b"".join(column.to_pylist()), dtype="<u4")
+    return out, n
+
 
-    def step(a, s):
-        last = F.element_at(a, -1)
-        joins = (F.size(a) > 0) & (s.start <= last.end)
-        grown = F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last.start.alias("start"), F.greatest(last.end, s.end).alias("end"))))
-        return F.when(joins, grown).otherwise(F.concat(a, F.array(F.struct(s.start.alias("start"), s.end.alias("end")))))
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x = (x ^ y) * _PLACE[0]
+    return x ^ (x >> np.uint64(32))
 
-    return F.aggregate(found, empty, lambda a, s: F.when(F.size(a) == 0, F.array(F.struct(s.start.alias("start"), s.end.alias("end")))).otherwise(step(a, s)))
+
+def _growing(codes: np.ndarray) -> list[np.ndarray]:
+    """A hash of the first 0, 1, 2, ... words of every row."""
+    out = [np.full(len(codes), 7, dtype=np.uint64)]
+    for k in range(codes.shape[1]):
+        out.append(_mixed(out[-1], codes[:, k].astype(np.uint64) + np.uint64(k << 32)))
+    return out
 
 
-def _repeated(t: pa.Table, words: int) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, start, end) of every suffix with a passage that stands twice in t, from the first of those to the last.
+def _repeated(t: pa.Table, words: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, start, end) of every suffix with a passage that stands twice, from the first of those to the last.
 
-    A suffix's passages all hold its gram, so those between are covered.
+    t is sorted by gram and right. A suffix's passages all hold its gram, so those between are covered.
     """
-    if not t.num_rows:
+    if t.num_rows < 2:
         return
-    own = t.column("own").combine_chunks()
-    n = np.diff(own.offsets.to_numpy())
-    _, which, times = np.unique(own.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    found = np.flatnonzero(times[which] > 1)
-    row = np.repeat(np.arange(len(n)), n)[found]
-    place = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))[found]
-    rows, at, count = np.unique(row, return_index=True, return_counts=True)
-    first = t.column("first").to_numpy()[rows].astype(np.int64)
-    start, end = first + place[at], first + place[at + count - 1] + words
-    h1, h2 = (t.column(c).to_numpy()[rows] for c in ("h1", "h2"))
-    yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["h1", "h2", "start", "end"])
+    n = words - gram
+    t = t.combine_chunks()
+    (l_codes, l_n), (r_codes, r_n) = (_codes(t.column(c).combine_chunks(), n) for c in ("left", "right"))
+    same = (r_codes[1:] == r_codes[:-1]) & (np.arange(n)[None, :] < np.minimum(r_n[1:], r_n[:-1])[:, None])
+    lcp = np.logical_and.accumulate(same, axis=1).sum(axis=1)
+    grams_ = t.column("gram").to_numpy()
+    lcp = np.concatenate([[-1], np.where(grams_[1:] == grams_[:-1], lcp, -1)])
+    l_hash = _growing(l_codes)
+    least, most = np.full(len(lcp), n + 1), np.full(len(lcp), -1)  # words to the left in the passages that match
+    for d in range(n + 1):
+        at = np.flatnonzero((l_n >= n - d) & (r_n >= d))
+        run = np.cumsum(lcp < d)[at].astype(np.uint64)
+        _, which, times = np.unique(_mixed(run * _PLACE[1], l_hash[n - d][at]), return_inverse=True, return_counts=True)
+        hit = at[times[which] > 1]
+        least[hit] = np.minimum(least[hit], n - d)
+        most[hit] = np.maximum(most[hit], n - d)
+    rows = np.flatnonzero(most >= 0)
+    if len(rows):
+        place = t.column("place").to_numpy()[rows].astype(np.int64)
+        h1, h2 = (t.column(c).to_numpy()[rows] for c in ("h1", "h2"))
+        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array((place - most[rows]).astype(np.int32)), pa.array((place - least[rows] + words).astype(np.int32))], names=["h1", "h2", "start", "end"])
