@@ -352,6 +352,37 @@ def test_patterns_discover_short_instances(spark):
     assert [got[100 + k] for k in range(len(short))] == [f"email:21:{21 + len(x)}" for x in short] and got[200] == ""
 
 
+def test_found_instances_lend_to_new_patterns(spark):
+    """Seeds teach one context; what it finds teaches a second, on the other side, where no seed ever stood."""
+    ids = [f"emp-{k}77" for k in range(6)]
+    rows = [(k, f"please contact me at user{k}@mail{k}.example.com {w}", None, 1) for k, w in enumerate(words(20, 5))]
+    rows += [(100 + k, f"please contact me at {x} {' '.join(words(3, 40 + k))}", None, 1) for k, x in enumerate(ids)]
+    rows += [(200 + k, f"{' '.join(words(3, 60 + k))} {x} signed off here", None, 1) for k, x in enumerate(ids)]
+    rows += [(300, "then emp-977 signed off here", None, 1), (301, "room 12, floor 3; emp-177 elsewhere", None, 1)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(frame(spark, rows), "doc_id", "text").collect()}
+    assert all(got[100 + k] == f"email:21:{21 + len(x)}" for k, x in enumerate(ids))
+    assert got[300] == "email:5:12" and got[301] == "" and all(got[200 + k].startswith("email:") for k in range(6))
+
+
+def test_keys_are_secrets(spark):
+    rows = [(k, f"{' '.join(words(4, k))} token = \"{hashlib.sha1(str(k).encode()).hexdigest()}\" {' '.join(words(4, 50 + k))}", None, 1) for k in range(9)]
+    rows += [(20, 'set token = "short7" now', None, 1), (21, hashlib.sha1(b"x").hexdigest() + " is a commit", None, 1)]
+    found = pii.find_pii(frame(spark, rows), "doc_id", "text")
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert all(got[k]["spans"].startswith("secret:") and got[k]["n_added"] == 1 for k in range(9))
+    assert got[20]["spans"] == "secret:13:19" and got[21]["spans"] == ""
+    assert {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, rows), found, "doc_id", "text").collect()}[20] == 'set token = "[secret]" now'
+
+
+def test_pii_of_a_long_text(spark):
+    """A megabyte of matches; time grows with the text, not with its square."""
+    n = 125_000
+    rows = [(1, "1.1.1.1 " * n, None, 1), (2, None, None, 1), (3, "", None, 1), (4, "é a@b.co 4111 1111 1111 1111, +1 (555) 010-2030", None, 1)]
+    found = pii.find_pii(frame(spark, rows), "doc_id", "text")
+    out = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, rows), found, "doc_id", "text").collect()}
+    assert out == {1: "[ip] " * n, 2: None, 3: "", 4: "é [email] [card], [phone]"}
+
+
 def test_repeats(spark):
     passage = words(70, 77)
     rows = [(k, " ".join(words(90, 500 + k) + (passage if k % 3 == 0 else []) + words(30, 600 + k))) for k in range(24)]
