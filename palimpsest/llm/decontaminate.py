@@ -1,11 +1,14 @@
 """Benchmark decontamination: SimHash over item-sized windows, looked up through multi-index Hamming blocks.
 
-Everything runs as DataFrame operations. A window and an item can only be similar if they share a shingle, so windows
-are laid where a document shares a shingle with an item, at the place that the shingle has in the item, and have the
-item's length; no window that could match is left out. Equal windows are fingerprinted once. A 64-bit fingerprint is
-cut into blocks; if two fingerprints differ in at most `radius` bits, some block differs in at most radius // blocks
-bits, so looking up every block under all such changes finds every item within the radius. What is found is verified
-by exact weighted-shingle similarity: sum of least over sum of greatest shingle weights, both counted with repeats.
+Everything runs as DataFrame operations. A window that matches an item lacks at most 1 - similarity of the item's
+weight, so it holds one at least of the item's heaviest shingles that weigh more than that together. Documents with one
+of those, the rarest that the items have, are the item's candidates; a phrase that many items share makes none. In a
+candidate, windows of the item's length are laid wherever it shares a shingle with the item, at the place that the
+shingle has in the item. Equal windows are fingerprinted once. A 64-bit fingerprint is cut into blocks; if two
+fingerprints differ in at most `radius` bits, some block differs in at most radius // blocks bits, so looking up every
+block, together with the length, under all such changes finds every item of that length within the radius. What is
+found is verified by exact weighted-shingle similarity: sum of least over sum of greatest shingle weights, both counted
+with repeats.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 import string
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.llm.scratch import Scratch
 
@@ -72,44 +75,54 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """(key, item_key, start_word, n_words, similarity): one row per document and item that it holds.
 
     The window given is the most similar, the first of equals. Documents with a null key, null texts, and items of
-    fewer than `words` words give no rows. A key or item key may repeat; its rows count as one. Extra columns are
-    ignored; an empty table on either side gives an empty result.
+    fewer than `words` words, which ordinary phrases would match, give no rows. Texts are read whole, however long. A
+    key may repeat; its rows count as one document. An item key may repeat; each of its texts is looked for. Extra columns are ignored; an empty table on either side gives
+    an empty result.
     """
     scratch = Scratch(docs.sparkSession, "leaks")
     milli = int(round(similarity * 1000))
     it = items.select(F.col(item_key).cast("long").alias("item"), words_of(F.col(item_text)).alias("w")).where("item is not null")
-    it = scratch.save(it.select("item", F.size("w").alias("len"), shingles_of(F.col("w"), words).alias("sh")).where(F.size("sh") > 0), "items")
+    it = it.select("item", F.size("w").alias("len"), shingles_of(F.col("w"), words).alias("sh")).where(F.size("sh") > 0)
+    it = scratch.save(it.withColumn("u", F.xxhash64("item", "sh")).dropDuplicates(["u"]), "items")
     n_items = it.count()
-    spread = it.select(F.monotonically_increasing_id().alias("u"), "item", "len", F.posexplode("sh").alias("at", "s"))
+    spread = it.select("u", "len", F.posexplode("sh").alias("at", "s"))
     spread = scratch.save(spread, "spread")
     idf = spread.groupBy("s").agg(F.countDistinct("u").alias("df")).select("s", F.round(1000 * F.log1p(F.lit(n_items) / F.col("df"))).cast("bigint").alias("w"))
     idf = scratch.save(idf, "idf")
     unseen = F.round(1000 * F.log1p(F.lit(float(n_items)))).cast("bigint")
 
+    # per item, the heaviest shingles that weigh more than a match may lack
+    own = spread.groupBy("u", "s").agg(F.count(F.lit(1)).alias("c")).join(idf, "s").withColumn("w", F.col("c") * F.col("w"))
+    of_item = Window.partitionBy("u")
+    own = own.withColumn("total", F.sum("w").over(of_item)).withColumn("before", F.coalesce(F.sum("w").over(of_item.orderBy((-F.col("w") / F.col("c")), F.xxhash64("s"), "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    heavy = scratch.save(own.where(1000 * F.col("before") <= (1000 - milli) * F.col("total")).select("s", "u"), "heavy")
+
     doc = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("t")).where("doc is not null and t is not null")
-    places = doc.select("doc", F.posexplode(shingles_of(words_of(F.col("t")), words)).alias("pos", "s"))
-    hits = places.join(spread.select("s", "item", "len", "at"), "s")
+    places = doc.select("doc", F.explode(F.array_distinct(shingles_of(words_of(F.col("t")), words))).alias("s"))
+    candidates = scratch.save(places.join(heavy, "s").groupBy("doc").agg(F.collect_set("u").alias("items")), "candidates")
+    held = scratch.save(doc.join(candidates, "doc").select("doc", "items", shingles_of(words_of(F.col("t")), words).alias("sh")), "held")
+    hits = held.select("doc", "items", F.posexplode("sh").alias("pos", "s")).join(spread.select("s", "u", "len", "at"), "s").where(F.array_contains("items", F.col("u")))
     laid = hits.groupBy("doc", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "len").agg(F.lit(1).alias("one"))
     laid = scratch.save(laid.groupBy("doc").agg(F.collect_list(F.struct("start", "len")).alias("windows")), "laid")
-    held = doc.join(laid, "doc").select("doc", "windows", shingles_of(words_of(F.col("t")), words).alias("sh"))
-    windows = held.select("doc", "sh", F.explode("windows").alias("x")).select("doc", "x.start", "x.len", F.slice("sh", F.col("x.start") + 1, F.greatest(F.col("x.len") - (words - 1), F.lit(1))).alias("sh"))
-    windows = scratch.save(windows.where(F.size("sh") > 0).withColumn("win", F.xxhash64("sh")), "windows")
+    windows = held.join(laid, "doc").select("doc", "sh", F.explode("windows").alias("x")).select("doc", "x.start", "x.len", F.slice("sh", F.col("x.start") + 1, F.greatest(F.col("x.len") - (words - 1), F.lit(1))).alias("sh"))
+    windows = scratch.save(windows.where(F.size("sh") > 0).withColumn("win", F.xxhash64("len", "sh")), "windows")
 
-    distinct = scratch.save(windows.groupBy("win").agg(F.first("sh").alias("sh")), "distinct")
+    distinct = scratch.save(windows.groupBy("win").agg(F.first("sh").alias("sh"), F.first("len").alias("len")), "distinct")
     win_counts = _weighted(distinct.select("win", "sh"), "win", idf, unseen)
-    item_counts = _weighted(it.select("item", "sh"), "item", idf, unseen)
+    item_counts = _weighted(it.select("u", "sh"), "u", idf, unseen)
     win_counts, item_counts = scratch.save(win_counts, "win_counts"), scratch.save(item_counts, "item_counts")
-    win_fp = win_counts.groupBy("win").agg(F.collect_list(F.struct("s", "w")).alias("c"), F.sum("w").alias("total")).select("win", "total", simhash(F.col("c")).alias("fp"))
-    item_fp = item_counts.groupBy("item").agg(F.collect_list(F.struct("s", "w")).alias("c"), F.sum("w").alias("total")).select("item", F.col("total").alias("item_total"), simhash(F.col("c")).alias("item_fp"))
-    index = scratch.save(item_fp.select("*", F.explode(block_keys(F.col("item_fp"), blocks, radius // blocks)).alias("k")).select("item", "item_total", "item_fp", "k.block", "k.value"), "index")
-    probes = win_fp.select("*", F.explode(block_keys(F.col("fp"), blocks, 0)).alias("k")).select("win", "total", "fp", "k.block", "k.value")
-    near = probes.join(index, ["block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = scratch.save(near.groupBy("win", "item", "total", "item_total").agg(F.lit(1).alias("one")).drop("one"), "near")
-
-    shared = near.join(win_counts.select("win", "s", "c", "w"), "win").join(item_counts.select("item", "s", F.col("c").alias("ic"), F.col("w").alias("iw")), ["item", "s"])
-    sims = shared.groupBy("win", "item", "total", "item_total").agg(F.sum(F.least("w", "iw")).alias("least"))
+    win_fp = win_counts.groupBy("win").agg(F.collect_list(F.struct("s", "w")).alias("c"), F.sum("w").alias("total")).select("win", "total", simhash(F.col("c")).alias("fp")).join(distinct.select("win", "len"), "win")
+    item_fp = item_counts.groupBy("u").agg(F.collect_list(F.struct("s", "w")).alias("c"), F.sum("w").alias("total")).select("u", F.col("total").alias("item_total"), simhash(F.col("c")).alias("item_fp"))
+    item_fp = item_fp.join(it.select("u", "len"), "u")
+    index = scratch.save(item_fp.select("*", F.explode(block_keys(F.col("item_fp"), blocks, radius // blocks)).alias("k")).select("u", "item_total", "item_fp", "len", "k.block", "k.value"), "index")
+    probes = win_fp.select("*", F.explode(block_keys(F.col("fp"), blocks, 0)).alias("k")).select("win", "total", "fp", "len", "k.block", "k.value")
+    near = probes.join(index, ["len", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = scratch.save(near.groupBy("win", "u", "total", "item_total").agg(F.lit(1).alias("one")).drop("one"), "near")
+
+    shared = near.join(win_counts.select("win", "s", "c", "w"), "win").join(item_counts.select("u", "s", F.col("c").alias("ic"), F.col("w").alias("iw")), ["u", "s"])
+    sims = shared.groupBy("win", "u", "total", "item_total").agg(F.sum(F.least("w", "iw")).alias("least"))
     sims = sims.where(1000 * F.col("least") >= milli * (F.col("total") + F.col("item_total") - F.col("least")))
-    sims = scratch.save(sims.select("win", "item", F.round(F.col("least") / (F.col("total") + F.col("item_total") - F.col("least")), 6).alias("sim")), "sims")
+    sims = scratch.save(sims.join(it.select("u", "item"), "u").select("win", "item", F.round(F.col("least") / (F.col("total") + F.col("item_total") - F.col("least")), 6).alias("sim")), "sims")
     best = windows.select("doc", "start", "len", "win").join(sims, "win").groupBy("doc", "item").agg(F.max(F.struct("sim", (-F.col("start")).alias("before"), "len")).alias("b"))
     return best.select(F.col("doc").alias(key), F.col("item").alias(item_key), (-F.col("b.before")).cast("int").alias("start_word"), F.col("b.len").alias("n_words"), F.col("b.sim").alias("similarity"))
 
