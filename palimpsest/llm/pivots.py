@@ -6,6 +6,11 @@ counted in one list only, that of its two smallest shared pivots. Within a list
 product of membership matrices, pairs with at least `min_shared` are verified by cosine in double precision, and the
 list answers with one row a vector: its number of links and the smallest id of its local component. No pair leaves a
 task. A list longer than `block` is split into blocks, and every pair of blocks is a task's unit of work.
+
+There are as many pivots as half the square root of the number of vectors, 128 at least and 4,096 at most, so a list
+stays as long as it was while vectors grow to 64 million a group. Two vectors of 64 dimensions at cosine 0.93 share two
+of their 8 nearest pivots with probability 1.000 of 128, 0.998 of 512, 0.992 of 2,048 and 0.990 of 4,096 pivots
+(simulated, 1,500 pairs each); at 0.95 and above it is 0.996 or more.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ def choose_pivots(vectors: DataFrame, vector: str, pivots: int, seed: int = 11)
     Each is the one that the pivots before it are least near to, so a cluster of near vectors gets one, not its share
     of the rows: among many pivots of one cluster the nearest few would be arbitrary. The rest of the index is not sampled.
     """
+    if not pivots:
+        return np.zeros((0, 1))
     rows = vectors.select(vector).distinct().orderBy(F.xxhash64(F.lit(seed), vector), vector).limit(16 * pivots).collect()
     if not rows:
         return np.zeros((0, 1))
@@ -43,24 +50,32 @@ def choose_pivots(vectors: DataFrame, vector: str, pivots: int, seed: int = 11)
     return u[chosen]
 
 
-def near_vectors(df: DataFrame, key: str, vector: str, group: str, threshold: float = 0.93, pivots: int = 128, prefix: int = 8, min_shared: int = 2, block: int = 256) -> DataFrame:
+def pivots_for(vectors: int) -> int:
+    """Half the square root of vectors as a power of two, from 128 to 4,096."""
+    return int(np.clip(2 ** np.round(np.log2(max(vectors, 1)) / 2 - 1), 128, 4096))
+
+
+def near_vectors(df: DataFrame, key: str, vector: str, group: str, threshold: float = 0.93, pivots: int | None = None, prefix: int = 8, min_shared: int = 2, block: int = 256) -> DataFrame:
     """(key, n_links, component_id, kept): one row per row of df.
 
     Rows are compared only within equal, non-null groups. A vector that is null, empty, all zero, or has a null or
     non-finite component links with nothing, and so do vectors of different lengths. Equal vectors of a group are one
     class with a multiplicity: they link with each other and share the class's links. component_id is the smallest key
-    reachable, kept marks the row whose key it is; a null key keeps its row, with no links. Extra columns are ignored.
+    reachable, kept marks the row whose key it is; a null key keeps its row, with no links. Of equally near pivots the
+    one chosen first counts as nearer. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "pivots")
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    # floats travel as they are, half as wide, and are compared as doubles
+    element = "float" if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "double"
+    v = F.transform(F.col(vector), lambda x: x.cast(element))
     fine = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = df.select(F.col(key).alias("id"), F.col(group).alias("g"), F.when(fine & F.col(group).isNotNull() & F.col(key).isNotNull(), v).alias("v"))
     rows = scratch.save(rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("g", "v"))), "rows")
     # -0.0 and 0.0 give different classes, which the cosine then links
     classes = rows.where("v is not null").groupBy("h", "g", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"))
     classes = scratch.save(classes, "classes")
-    points = choose_pivots(classes.where(F.size("v") == _dims(classes)), "v", pivots)
+    points = choose_pivots(classes.where(F.size("v") == _dims(classes)), "v", pivots or pivots_for(classes.count()))
     found = scratch.save(_list_links(scratch, classes, points, threshold, prefix, min_shared, block), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("id <> root"), scratch, "id", "root")
@@ -82,9 +97,6 @@ def _dims(classes: DataFrame) -> int:
     return row["d"] if row else 1
 
 
-LIST = T.StructType([T.StructField("lk", T.LongType()), T.StructField("p", T.IntegerType()), T.StructField("q", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("m", T.LongType()), T.StructField("pivots", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
-
-
 def _list_links(scratch: Scratch, classes: DataFrame, points: np.ndarray, threshold: float, prefix: int, min_shared: int, block: int) -> DataFrame:
     """(id, links, root) for every class and every unit of work that it takes part in and finds a link in."""
     n_points, dims = points.shape
@@ -98,14 +110,14 @@ def _list_links(scratch: Scratch, classes: DataFrame, points: np.ndarray, thresh
             same = [k for k, x in enumerate(vs) if len(x) == dims]
             near = {}
             if same and top:
-                u = _unit(_scaled(np.array([vs[k] for k in same])))
+                u = _unit(_scaled(np.array([vs[k] for k in same], dtype=np.float64)))
                 order = np.argsort(-(u @ sent.value.T), axis=1, kind="stable")[:, :top]
                 near = dict(zip(same, np.sort(order, axis=1).tolist()))
             # a vector of another length meets all of its length: a list of its own
             lists = [near.get(k, [n_points + len(x), n_points + len(x) + 1]) for k, x in enumerate(vs)]
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("m"), b.column("g").cast(pa.string()), pa.array(lists, pa.list_(pa.int32())), b.column("v")], names=["id", "m", "g", "pivots", "v"])
 
-    described = classes.select("rep", "m", F.col("g").cast("string").alias("g"), "v").mapInArrow(describe, "id long, m long, g string, pivots array<int>, v array<double>")
+    described = classes.select("rep", "m", F.col("g").cast("string").alias("g"), "v").mapInArrow(describe, f"id long, m long, g string, pivots array<int>, v {classes.schema['v'].dataType.simpleString()}")
     described = scratch.save(described, "described")
     one = F.explode(F.expr("flatten(transform(pivots, (p, i) -> transform(slice(pivots, i + 2, size(pivots)), q -> named_struct('p', p, 'q', q))))"))
     if top < 2:
@@ -126,7 +138,8 @@ def _list_links(scratch: Scratch, classes: DataFrame, points: np.ndarray, thresh
             if len(ids):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64()), pa.array(roots, pa.int64())], names=["id", "links", "root"])
 
-    n = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sizes.agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(block)))).first()[0] or 0
+    n = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(dealt) // 100_000))
     return units.repartition(n, "lk").sortWithinPartitions("lk", "id").mapInArrow(link, out)
 
 
@@ -174,7 +187,7 @@ def _one_unit(t: pa.Table, threshold: float, min_shared: int) -> tuple[np.ndarra
     if not ok.any():
         return none, none, none
     v = t.column("v").combine_chunks()
-    u = _unit(_scaled(v.values.to_numpy()[v.offsets[0].as_py() :][: len(ids) * (v.offsets[1].as_py() - v.offsets[0].as_py())].reshape(len(ids), -1)))
+    u = _unit(_scaled(v.values.to_numpy().astype(np.float64)[v.offsets[0].as_py() :][: len(ids) * (v.offsets[1].as_py() - v.offsets[0].as_py())].reshape(len(ids), -1)))
     ok &= (u @ u.T) >= threshold
     m = t.column("m").to_numpy()
     links = ok @ m

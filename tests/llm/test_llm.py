@@ -144,6 +144,27 @@ def test_near_vectors_of_a_hot_cluster(spark):
     assert sum(x["n_links"] for x in got) >= 0.97 * want.sum()
 
 
+def test_pivots_follow_the_vectors():
+    assert [pivots.pivots_for(n) for n in (0, 1, 51_282, 1_000_000, 64_000_000, 10**10)] == [128, 128, 128, 512, 4096, 4096]
+
+
+@pytest.mark.parametrize("count", [128, 1024])
+def test_recall_by_cosine(spark, count):
+    """Planted pairs of 64 dimensions, in bands of cosine from the threshold up, among other vectors."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e = r.normal(size=(600, 64))
+    e -= (e * x).sum(axis=1, keepdims=True) * x
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    c = np.repeat([0.9301, 0.94, 0.96], 200)[:, None]
+    v = np.concatenate([x, c * x + np.sqrt(1 - c * c) * e, r.normal(size=(1500, 64))])
+    rows = [(k, a.tolist(), 1) for k, a in enumerate(v)]
+    got = {a["vec_id"]: a["n_links"] for a in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id", "embedding", "label", 0.93, pivots=count).collect()}
+    recall = [np.mean([got[k] >= 1 for k in range(200 * band, 200 * band + 200)]) for band in range(3)]
+    assert min(recall) >= 0.98 and all(got[k] == 0 for k in range(1200, 2700))
+
+
 def test_shuffle(spark):
     rows = corpus()
     got = sharding.two_pass_shuffle(frame(spark, rows), "doc_id", "text", shards=5).collect()
