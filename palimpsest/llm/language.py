@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from palimpsest.llm.scratch import least_hashed
+from palimpsest.llm.scratch import least_hashed, let_workers_import
 
 WINDOW = 24
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, text: str, lang: str, sample_docs: int = 1500, sample_w
     Bounded: the sample_docs different rows of the least hashes of their texts, and of those rows' different (language,
     window) pairs, weighted by occurrence, sample_windows. Languages come in the proportions of the sample.
     """
+    let_workers_import(docs.sparkSession)
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     rows = least_hashed(rows, sample_docs, "t", "l", seed=seed)
 
@@ -245,10 +246,13 @@ _LABELLERS: dict[str, Labeller] = {}
 def identify(docs: DataFrame, net: Network | None, text: str, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with lang_col and score_col, which replace columns of those names.
 
-    A text that is null or has no letter gets `und` and 0.0, and so does every text if net is None.
+    A text that is null or has no letter gets `und` and 0.0, and so does every text if net is None. Texts are read
+    whole, however long; of languages that tie, the alphabetically first. Rows that repeat get equal results; other
+    columns stay; an empty table gives an empty result.
     """
     import uuid
 
+    let_workers_import(docs.sparkSession)
     name = uuid.uuid4().hex
     base = docs.drop(lang_col, score_col)
     schema = T.StructType([*base.schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])

@@ -13,6 +13,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from palimpsest.llm.scratch import Scratch
@@ -51,21 +52,31 @@ def two_pass_shuffle(df: DataFrame, key: str, text: str, shards: int = 16, seed:
         return t.take(_fisher_yates(t.num_rows, seed, b)).append_column(PLACE, pa.array(np.arange(t.num_rows)))
 
     scratch = Scratch(spark, "shuffle")
-    placed = scratch.save(scattered.groupBy(BUCKET).applyInArrow(shuffled, schema), "placed")
-    offsets = placed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = offsets.withColumn("_before", F.sum("_n").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = offsets.select(BUCKET, F.coalesce("_before", F.lit(0)).alias("_before"))
+    placed = scratch.save(scattered.repartition(buckets, BUCKET).groupBy(BUCKET).applyInArrow(shuffled, schema), "placed")
+    offsets = _offsets(placed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n")))
     # one row of 16 bytes for each bucket_bytes of input
     at = F.col("_before") + F.col(PLACE)
     joined = placed.join(F.broadcast(offsets) if buckets <= 1_000_000 else offsets, BUCKET)
     return joined.select(*names, F.pmod(at, F.lit(shards)).cast("int").alias(SHARD), F.floor(at / F.lit(shards)).cast("long").alias(SLOT))
 
 
+def _offsets(counts: DataFrame, group: int = 4096) -> DataFrame:
+    """(bucket, _before): rows in the buckets before, summed within groups of buckets and over groups."""
+    part = F.floor(F.col(BUCKET) / group)
+    within = Window.partitionBy("_group").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)  # one row for `group` buckets
+    counts = counts.withColumn("_group", part)
+    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_g")).withColumn("_first", F.coalesce(F.sum("_g").over(over), F.lit(0))).select("_group", "_first")
+    counts = counts.withColumn("_inner", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    return counts.join(groups, "_group").select(BUCKET, (F.col("_first") + F.col("_inner")).alias("_before"))
+
+
 def _has_files(df: DataFrame) -> bool:
+    """Whether df is read straight from files, whose rows have numbers."""
     try:
         df.select("_metadata.row_index")
         return True
-    except Exception:  # not read straight from files
+    except AnalysisException:
         return False
 
 

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from palimpsest.llm.scratch import let_workers_import
+
 # Fixed value: the public byte-level pre-tokenizer pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -90,6 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id:
     with_ids the rows carry the ids themselves. Texts are encoded whole, however long. Extra columns are ignored; an
     empty table gives an empty result.
     """
+    let_workers_import(docs.sparkSession)
     schema = T.StructType([*PIECE_SCHEMA.fields, *([T.StructField("ids", T.ArrayType(T.LongType()))] if with_ids else [])])
     end = np.asarray([end_id], dtype="<u4").tobytes()
 

@@ -14,7 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from palimpsest.llm.scratch import let_workers_import
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -171,15 +173,18 @@ def _best_f1(z: np.ndarray, y: np.ndarray) -> float:
     return float((1 + np.tanh(at / 2)) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, categories: dict[str, str], sample: int = 6000, seed: int = 23) -> Chain | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, categories: dict[str, str], sample: int = 6000, sample_bytes: int = 256 << 20, seed: int = 23) -> Chain | None:
     """A chain over `categories` (name: SQL over labels' columns), in their order; None without labelled rows.
 
-    Bounded: the `sample` labelled keys of the least hashes. Rows with a null category, key or text are left out.
+    Bounded: the `sample` labelled keys of the least hashes, and of their documents, in that order, those whose texts
+    come to `sample_bytes` together. Rows with a null category, key or text are left out.
     """
     names = list(categories)
     rows = labels.select(F.col(key).alias("k"), *[F.expr(e).cast("int").alias(f"c{i}") for i, e in enumerate(categories.values())]).dropna()
     rows = rows.orderBy(F.xxhash64(F.lit(seed), "k"), *rows.columns).limit(sample)
-    taken = docs.select(F.col(key).alias("dk"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(rows), F.col("dk") == F.col("k")).orderBy(F.xxhash64("k", "t"), "t").limit(sample).collect()
+    taken = docs.select(F.col(key).alias("dk"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(rows), F.col("dk") == F.col("k")).orderBy(F.xxhash64("k", "t"), "t").limit(sample)
+    before = F.sum(F.octet_length("t")).over(Window.orderBy(F.xxhash64("k", "t"), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = taken.withColumn("_bytes", before).where(F.col("_bytes") <= sample_bytes).collect()
     if not taken:
         return None
     return train([r["t"] for r in taken], np.array([[r[f"c{i}"] for i in range(len(names))] for r in taken]), names)
@@ -189,8 +194,10 @@ def score(docs: DataFrame, chain: Chain | None, key: str, text: str) -> DataFram
     """(key, p_<category>..., is_<category>...): one row per row of docs.
 
     A null or empty text has no features and gets the models' biases. Without a chain there are no category columns.
-    Keys may be null or repeat; extra columns are ignored.
+    A probability that ties with the threshold counts as the category. Texts are read whole, however long. Keys may be
+    null or repeat; equal texts get equal results; extra columns are ignored; an empty table gives an empty result.
     """
+    let_workers_import(docs.sparkSession)
     names = chain.categories if chain else []
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     schema = T.StructType([T.StructField(key, base.schema["k"].dataType), *[T.StructField(f"p_{n}", T.DoubleType()) for n in names], *[T.StructField(f"is_{n}", T.BooleanType()) for n in names]])

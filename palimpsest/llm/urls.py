@@ -2,7 +2,8 @@
 
 Everything runs as DataFrame operations. The trees are trained on urls that the rules label, at most `sample` of them
 (those of the least hashes): each level of each tree is one aggregation of gradients by node, feature and bin, whose
-result has at most nodes * features * bins rows and picks the splits. Suffix statistics count all rows.
+result has at most nodes * features * bins rows and picks the splits. Suffix statistics count all rows; a url that
+trains is given the rate of its suffix's labels out of fold, so it does not see its own.
 """
 
 from __future__ import annotations
@@ -164,8 +165,8 @@ def judge_urls(df: DataFrame, key: str, url: str, rules: list[Rule], sample: int
 
     rule is the longest rule that fits; its verdict holds. Elsewhere verdict is block where the trees give threshold
     or more (rules label few urls, so a block has to be a confident one); score is their probability for every row. A null url counts as empty for the features. Without labelled
-    urls, or with one label only, the score is the label's smoothed share. Keys may be null or repeat; extra columns
-    are ignored; an empty table gives an empty result.
+    urls, or with one label only, the score is the label's smoothed share. Urls are read whole, however long. Keys may be
+    null or repeat; equal rows get equal results; extra columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "urls")
     rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"))
@@ -176,9 +177,15 @@ def judge_urls(df: DataFrame, key: str, url: str, rules: list[Rule], sample: int
     rows = scratch.save(rows.drop("url").withColumn("at", F.xxhash64(F.lit(seed), "host", "path", "id")), "rows")
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("p")).first()
     prior = total["p"] if total["p"] is not None else 0.0
-    stats = rows.groupBy("suffix").agg(((F.coalesce(F.sum("y"), F.lit(0)) + 20 * prior) / (F.count("y") + 20)).alias("suffix_rate"), (F.count(F.lit(1)) / max(total["n"], 1)).alias("suffix_share"))
-    rows = rows.join(stats, "suffix", "left")
-    fit = scratch.save(least_hashed(rows.where("y is not null"), sample, "at", seed=seed).select("y", *FEATURES), "fit")
+    # a row that trains sees its suffix's rate without its own fold; the rest, and all predictions, see all labels
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed + 1), "at"), F.lit(5)))
+    folds = scratch.save(rows.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("labels"), F.coalesce(F.sum("y"), F.lit(0)).alias("blocked")), "folds")
+    whole = folds.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("labels").alias("all_labels"), F.sum("blocked").alias("all_blocked"))
+    rate = lambda blocked, labels: (blocked + 20 * prior) / (labels + 20)
+    stats = folds.join(whole, "suffix").select("suffix", "fold", rate(F.col("all_blocked"), F.col("all_labels")).alias("suffix_rate"), rate(F.col("all_blocked") - F.col("blocked"), F.col("all_labels") - F.col("labels")).alias("other_rate"), (F.col("all_n") / max(total["n"], 1)).alias("suffix_share"))
+    rows = rows.join(scratch.save(stats, "stats"), ["suffix", "fold"], "left")
+    labelled = rows.where("y is not null").withColumn("suffix_rate", F.col("other_rate"))
+    fit = scratch.save(least_hashed(labelled, sample, "at", seed=seed).select("y", *FEATURES), "fit")
     model = train(fit)
     score = model.predict()
     return rows.select(
