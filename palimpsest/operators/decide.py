@@ -53,10 +53,12 @@ def decide(transactions: DataFrame, params: Params, verdicts: DataFrame | None =
     return t.withColumn("decision", decision(F.col("description"), F.col("is_credit"), params, named, told, carry)).drop("_keyword", "_instruction")
 
 
-def redactions(cells: DataFrame, grouped: DataFrame, decided: DataFrame, params: Params) -> DataFrame:
-    """(page, seq, x0, y0, x1, y1, reason): boxes of redacted groups, and of balances if asked for."""
-    gone = decided.where("decision = 'redact'").select(*PAGE, "group_id")
-    rows = grouped.join(gone, [*PAGE, "group_id"], "left_semi").where(F.col("role").isin("date", "description", "paid_in", "paid_out"))
+def redactions(cells: DataFrame, decided: DataFrame, params: Params) -> DataFrame:
+    """(page, seq, x0, y0, x1, y1, reason): boxes of redacted groups, and of balances if asked for.
+
+    A decided transaction has its cells with it, so they need not be found again.
+    """
+    rows = decided.where("decision = 'redact'").select(*PAGE, F.explode("cells").alias("c")).select(*PAGE, "c.*").where(F.col("role").isin("date", "description", "paid_in", "paid_out"))
     out = rows.select(*PAGE, "seq", "x0", "y0", "x1", "y1", F.lit("transaction").alias("reason"))
     if params.redact_balances:
         balances = cells.where(is_amount(F.col("text")) & ((F.col("row_y") <= F.col("header_y")) | (F.col("role") == "balance")))

@@ -8,8 +8,6 @@ from palimpsest.functions.predicates import is_amount, is_date, parse_amount
 from palimpsest.operators.layout import PAGE
 
 
-
-
 def _has_role(role: str) -> Column:
     return F.exists("bands", lambda b: b.role == role)
 
@@ -26,16 +24,18 @@ def group_rows(cells: DataFrame, max_gap: float = 20.0) -> DataFrame:
     date_cell = is_date(F.col("text")) & (F.col("role") == "date")
     money_cell = is_amount(F.col("text")) & F.col("role").isin("paid_in", "paid_out")
     start_cell = F.when(dated, date_cell).otherwise(money_cell)
-    rows = body.groupBy(*PAGE, "row_id", "row_y").agg(F.max(start_cell).alias("is_head"))
-    w = Window.partitionBy(*PAGE).orderBy("row_id")
-    rows = rows.withColumns({"group_id": F.sum(F.col("is_head").cast("int")).over(w), "_far": ~F.col("is_head") & (F.col("row_y") - F.lag("row_y").over(w) > max_gap)})
-    since = Window.partitionBy(*PAGE, "group_id").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_broken", F.coalesce(F.max("_far").over(since), F.lit(False))).where("group_id > 0 and not _broken")
-    return body.join(rows.select(*PAGE, "row_id", "group_id", "is_head"), [*PAGE, "row_id"]).withColumn("dated", dated)
+    row = Window.partitionBy(*PAGE, "row_id")
+    down = Window.partitionBy(*PAGE).orderBy("row_id")  # rows of one row_id are peers
+    rows = body.withColumns({"dated": dated, "is_head": F.max(start_cell).over(row), "_first": F.row_number().over(row.orderBy("x0", "seq")) == 1})
+    above = F.max("row_y").over(down.rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"group_id": F.sum((F.col("is_head") & F.col("_first")).cast("int")).over(down), "_far": ~F.col("is_head") & F.coalesce(F.col("row_y") - above > max_gap, F.lit(False))})
+    since = Window.partitionBy(*PAGE, "group_id").orderBy("row_id")
+    rows = rows.withColumn("_broken", F.max("_far").over(since)).where("group_id > 0 and not _broken")
+    return rows.select(*cells.columns, "group_id", "is_head", "dated")
 
 
 def transactions(grouped: DataFrame) -> DataFrame:
-    """(page, group_id, description, amount, is_credit, dated): one row a group.
+    """(page, group_id, description, amount, is_credit, dated, cells): one row a group; cells are (seq, role, box).
 
     amount is the first paid out, else the first paid in, else 0. A dateless group takes amounts from its head row.
     Credit: a paid in amount on pages that have both money columns; elsewhere an amount that ends in CR or starts
@@ -53,4 +53,5 @@ def transactions(grouped: DataFrame) -> DataFrame:
         F.coalesce(first("paid_out"), first("paid_in"), F.lit(0).cast("decimal(18,2)")).alias("amount"),
         F.max(credit).alias("is_credit"),
         F.max("dated").alias("dated"),
+        F.collect_list(F.struct("seq", "role", "x0", "y0", "x1", "y1")).alias("cells"),
     )

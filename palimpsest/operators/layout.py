@@ -29,11 +29,17 @@ def row_anchors(ys: Column, tol: float, strict: bool = False) -> Column:
 
 
 def cluster_rows(spans: DataFrame, tol: float = 3.0, strict: bool = False) -> DataFrame:
-    """spans with row_id (from 0 down the page) and row_y, the row's anchor."""
-    anchors = spans.groupBy(*PAGE).agg(row_anchors(F.collect_set("y0"), tol, strict).alias("_anchors"))
-    joined = spans.join(anchors, PAGE)
+    """spans with row_id (from 0 down the page) and row_y, the row's anchor.
+
+    A page is gathered once, its anchors are found in one fold, and its spans are laid out again: no join, and what
+    follows by page needs no further shuffle.
+    """
+    others = [c for c in spans.columns if c not in PAGE]
+    paged = spans.groupBy(*PAGE).agg(F.collect_set("y0").alias("_ys"), F.collect_list(F.struct(*others)).alias("_spans"))
+    laid = paged.select(*PAGE, row_anchors(F.col("_ys"), tol, strict).alias("_anchors"), "_spans")
+    flat = laid.select(*PAGE, "_anchors", F.explode("_spans").alias("_s")).select(*PAGE, "_anchors", "_s.*")
     at = F.size(F.filter("_anchors", lambda a: a <= F.col("y0")))
-    return joined.withColumn("row_id", at - 1).withColumn("row_y", F.element_at("_anchors", at)).drop("_anchors")
+    return flat.withColumn("row_id", at - 1).withColumn("row_y", F.element_at("_anchors", at)).select(*spans.columns, "row_id", "row_y")
 
 
 def merge_phrases(rows: DataFrame, gap: float = 12.0) -> DataFrame:

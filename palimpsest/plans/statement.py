@@ -21,7 +21,7 @@ class Statement:
         return D.decide(self.transactions, params, verdicts)
 
     def redactions(self, params: D.Params, verdicts: DataFrame | None = None) -> DataFrame:
-        return D.redactions(self.cells, self.grouped, self.decided(params, verdicts), params)
+        return D.redactions(self.cells, self.decided(params, verdicts), params)
 
     def survivors(self, params: D.Params, verdicts: DataFrame | None = None) -> DataFrame:
         return D.surviving_spans(self.spans, self.redactions(params, verdicts))

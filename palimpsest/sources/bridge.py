@@ -61,11 +61,11 @@ def statement_spans(tx: DataFrame, jitter: bool = False) -> DataFrame:
         cell(4, "balance", money(F.col("balance"))),
         cell(5, "description", F.col("wrap"), y + WRAP_Y),
     )
-    body = tx.select("doc_id", "page_no", "i", F.explode(cells).alias("c")).where("c.text is not null")
-    seq = (10 + 10 * F.col("i") + F.col("c.k")).cast("int")
-    moved = F.col("c.y") + (((F.col("i") * 7 + F.col("c.k")) % 5) * 0.5 if jitter else F.lit(0.0))
-    body = body.select("doc_id", "page_no", seq.alias("seq"), "c.text", "c.x", moved.alias("y"))
+    seq = lambda c: (10 + 10 * F.col("i") + c.k).cast("int")
+    moved = lambda c: c.y + (((F.col("i") * 7 + c.k) % 5) * 0.5 if jitter else F.lit(0.0))
+    body = F.transform(F.filter(cells, lambda c: c.text.isNotNull()), lambda c: F.struct(seq(c).alias("seq"), c.x.alias("x"), moved(c).alias("y"), c.text.alias("text")))
     fixed = [(k, x, HEADER_Y, text) for k, (x, text) in enumerate(COLUMNS.values())] + [(5 + k, 50.0, fy, text) for k, (fy, text) in enumerate(FURNITURE)]
-    heads = F.explode(F.array(*[F.struct(F.lit(s).alias("seq"), F.lit(t).alias("text"), F.lit(x).alias("x"), F.lit(hy).alias("y")) for s, x, hy, t in fixed])).alias("c")
-    head = tx.groupBy("doc_id", "page_no").agg(F.lit(1).alias("one")).select("doc_id", "page_no", heads).select("doc_id", "page_no", "c.*")
-    return _box(body.unionByName(head)).select("doc_id", "page_no", "seq", "text", "x0", "y0", "x1", "y1")
+    head = F.array(*[F.struct(F.lit(s).alias("seq"), F.lit(x).alias("x"), F.lit(hy).alias("y"), F.lit(t).alias("text")) for s, x, hy, t in fixed])
+    # a page's first transaction brings its header and furniture along
+    all_ = F.concat(F.when(F.col("i") == 0, head).otherwise(F.slice(head, 1, 0)), body)
+    return _box(tx.select("doc_id", "page_no", F.explode(all_).alias("c")).select("doc_id", "page_no", "c.*")).select("doc_id", "page_no", "seq", "text", "x0", "y0", "x1", "y1")
