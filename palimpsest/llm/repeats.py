@@ -10,8 +10,9 @@ agree so far. Within a run a match is extended to the left: suffixes that agree
 passage, so no neighbour, context or length is bounded and none is missed. A longer passage is a run of such passages,
 so its marks join up.
 
-A gram of more than `runs` suffixes would be one task's work; its suffixes' passages are counted by their hashes
-instead, each passage by itself, which gives the same marks.
+A gram of more than `runs` suffixes would be one task's work. Its suffixes are first
+reduced to those that differ in their words around, with their numbers; then the passages of each are counted by their
+hashes, each passage by itself, which gives the same marks.
 
 Words are compared by 32 bits of their hashes, and passages by 64 bits of theirs. Equal texts are one class with one set
 of suffixes; a class of two or more rows is repeated as a whole if it has `words` words.
@@ -149,17 +150,21 @@ def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gra
             l_hash, r_hash = _growing(l_codes), _growing(r_codes)
             for d in range(n + 1):
                 at = np.flatnonzero((l_n >= n - d) & (r_n >= d))
-                w = _mixed(_mixed(b.column("gram").to_numpy()[at].view(np.uint64), l_hash[n - d][at]), r_hash[d][at])
                 own = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([own.column("h1"), own.column("h2"), own.column("place"), pa.array((own.column("place").to_numpy() - (n - d)).astype(np.int32)), pa.array(w.view(np.int64))], names=["h1", "h2", "place", "start", "w"])
+                w = _mixed(_mixed(b.column("gram").to_numpy()[at].view(np.uint64), l_hash[n - d][at]), r_hash[d][at])
+                yield pa.RecordBatch.from_arrays([own.column("content"), own.column("times"), pa.array(np.full(len(at), n - d, dtype=np.int32)), pa.array(w.view(np.int64))], names=["content", "times", "ahead", "w"])
 
-    frequent = scratch.save(kept.join(hot, "gram", "left_semi").mapInArrow(spell, "h1 long, h2 long, place int, start int, w long"), "frequent")
-    again = scratch.save(frequent.groupBy("w").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "again")
+    content = F.xxhash64("gram", "left", "right")
+    often_kept = scratch.save(kept.join(hot, "gram", "left_semi").withColumn("content", content), "often_kept")
+    contents = often_kept.groupBy("content", "gram", "left", "right").agg(F.count(F.lit(1)).alias("times"))
+    frequent = scratch.save(contents.mapInArrow(spell, "content long, times long, ahead int, w long"), "frequent")
+    again = scratch.save(frequent.groupBy("w").agg(F.sum("times").alias("times")).where("times > 1"), "again")
     # at most a million passages stand more often than `many`, so what is broadcast is bounded
     many = max(MANY, (again.agg(F.sum("times")).first()[0] or 0) // 1_000_000)
     sent = F.broadcast(again.where(F.col("times") > many).select("w"))
-    twice = frequent.join(sent, "w", "left_semi").unionByName(frequent.join(sent, "w", "left_anti").join(again.where(F.col("times") <= many), "w", "left_semi"))
-    twice = twice.groupBy("h1", "h2", "place").agg(F.min("start").alias("start"), (F.max("start") + words).alias("end"))
+    twice = frequent.select("content", "ahead", "w").join(sent, "w", "left_semi").unionByName(frequent.select("content", "ahead", "w").join(sent, "w", "left_anti").join(again.where(F.col("times") <= many), "w", "left_semi"))
+    twice = twice.groupBy("content").agg(F.min("ahead").alias("least"), F.max("ahead").alias("most"))
+    twice = often_kept.select("h1", "h2", "place", "content").join(twice, "content").select("h1", "h2", (F.col("place") - F.col("most")).alias("start"), (F.col("place") - F.col("least") + words).alias("end"))
     marks = rare.mapInArrow(compare, "h1 long, h2 long, start int, end int").unionByName(twice.select("h1", "h2", "start", "end"))
     marks = scratch.save(marks.groupBy("h1", "h2", "start").agg(F.max("end").alias("end")), "marks")
     in_text = Window.partitionBy("h1", "h2").orderBy("start")
