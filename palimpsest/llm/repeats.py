@@ -118,14 +118,19 @@ def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gra
                 starts = np.flatnonzero(np.isin(g[pick].view(np.int64), kept))
                 at, first, n = np.unique(pick[starts], return_index=True, return_counts=True)
                 code = (h >> np.uint64(32)).astype("<u4")
-                ahead, back, k = code.tobytes(), code[::-1].tobytes(), len(at)
+                ahead, back = code.tobytes(), code[::-1].tobytes()
                 lo, hi = starts[first], starts[first] + n - 1  # the first and last passage that pick the suffix
                 left = [back[4 * (len(h) - p) : 4 * (len(h) - x)] for p, x in zip(at.tolist(), lo.tolist())]
                 right = [ahead[4 * (p + gram) : 4 * (y + words)] for p, y in zip(at.tolist(), hi.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([h1] * k, pa.int64()), pa.array([h2] * k, pa.int64()), pa.array(g[at].view(np.int64)), pa.array(at.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h1", "h2", "gram", "place", "left", "right"])
+                same: dict[tuple, list[int]] = {}  # a text that repeats itself has one row for all places alike
+                for c, p, x, y in zip(g[at].view(np.int64).tolist(), at.tolist(), left, right):
+                    same.setdefault((c, x, y), []).append(p)
+                k = len(same)
+                cols = [pa.array([h1] * k, pa.int64()), pa.array([h2] * k, pa.int64()), pa.array([c for c, _, _ in same], pa.int64()), pa.array(list(same.values()), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x for _, x, _ in same], pa.binary()), pa.array([y for _, _, y in same], pa.binary())], names=["h1", "h2", "gram", "places", "left", "right"])
 
     held = held.dropDuplicates(["h1", "h2"])
-    kept = scratch.save(held.mapInArrow(context, "h1 long, h2 long, gram long, place int, left binary, right binary"), "kept")
+    kept = scratch.save(held.mapInArrow(context, "h1 long, h2 long, gram long, places array<int>, left binary, right binary"), "kept")
     n_parts = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // 500_000))
     hot = scratch.save(often.where(F.col("times") > runs).select("gram"), "hot")
     rare = kept.join(hot, "gram", "left_anti").repartition(n_parts, "gram").sortWithinPartitions("gram", "right")
@@ -156,7 +161,7 @@ def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gra
 
     content = F.xxhash64("gram", "left", "right")
     often_kept = scratch.save(kept.join(hot, "gram", "left_semi").withColumn("content", content), "often_kept")
-    contents = often_kept.groupBy("content", "gram", "left", "right").agg(F.count(F.lit(1)).alias("times"))
+    contents = often_kept.groupBy("content", "gram", "left", "right").agg(F.sum(F.size("places").cast("long")).alias("times"))
     frequent = scratch.save(contents.mapInArrow(spell, "content long, times long, ahead int, w long"), "frequent")
     again = scratch.save(frequent.groupBy("w").agg(F.sum("times").alias("times")).where("times > 1"), "again")
     # at most a million passages stand more often than `many`, so what is broadcast is bounded
@@ -164,8 +169,14 @@ def repeated_passages(docs: DataFrame, key: str, text: str, words: int = 50, gra
     sent = F.broadcast(again.where(F.col("times") > many).select("w"))
     twice = frequent.select("content", "ahead", "w").join(sent, "w", "left_semi").unionByName(frequent.select("content", "ahead", "w").join(sent, "w", "left_anti").join(again.where(F.col("times") <= many), "w", "left_semi"))
     twice = twice.groupBy("content").agg(F.min("ahead").alias("least"), F.max("ahead").alias("most"))
-    twice = often_kept.select("h1", "h2", "place", "content").join(twice, "content").select("h1", "h2", (F.col("place") - F.col("most")).alias("start"), (F.col("place") - F.col("least") + words).alias("end"))
-    marks = rare.mapInArrow(compare, "h1 long, h2 long, start int, end int").unionByName(twice.select("h1", "h2", "start", "end"))
+    twice = often_kept.select("h1", "h2", "places", "content").join(twice, "content").select("h1", "h2", "places", "least", "most")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _marks(b, b.column("least").to_numpy(), b.column("most").to_numpy(), words)
+
+    marked = "h1 long, h2 long, start int, end int"
+    marks = rare.mapInArrow(compare, marked).unionByName(twice.mapInArrow(place, marked))
     marks = scratch.save(marks.groupBy("h1", "h2", "start").agg(F.max("end").alias("end")), "marks")
     in_text = Window.partitionBy("h1", "h2").orderBy("start")
     before = F.max("end").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
@@ -225,8 +236,20 @@ def _repeated(t: pa.Table, words: int, gram: int) -> Iterator[pa.RecordBatch]:
         hit = at[times[which] > 1]
         least[hit] = np.minimum(least[hit], n - d)
         most[hit] = np.maximum(most[hit], n - d)
+    own = np.array(pa.compute.list_value_length(t.column("places").combine_chunks())) > 1
+    least[own], most[own] = (n - np.minimum(r_n, n))[own], np.minimum(l_n, n)[own]  # all of its passages stand again in its own text
     rows = np.flatnonzero(most >= 0)
     if len(rows):
-        place = t.column("place").to_numpy()[rows].astype(np.int64)
-        h1, h2 = (t.column(c).to_numpy()[rows] for c in ("h1", "h2"))
-        yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array((place - most[rows]).astype(np.int32)), pa.array((place - least[rows] + words).astype(np.int32))], names=["h1", "h2", "start", "end"])
+        yield _marks(t.take(pa.array(rows)), least[rows], most[rows], words)
+
+
+def _marks(t: pa.Table | pa.RecordBatch, least: np.ndarray, most: np.ndarray, words: int) -> pa.RecordBatch:
+    """(h1, h2, start, end): the words of each row's passages at all of its places, those that overlap joined."""
+    h1, h2, starts, ends = [], [], [], []
+    for a, b, places, lo, hi in zip(t.column("h1").to_pylist(), t.column("h2").to_pylist(), t.column("places").to_pylist(), least.tolist(), most.tolist()):
+        for k, p in enumerate(places):
+            if k and p - hi <= ends[-1]:
+                ends[-1] = p - lo + words
+            else:
+                h1.append(a), h2.append(b), starts.append(p - hi), ends.append(p - lo + words)
+    return pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["h1", "h2", "start", "end"])
