@@ -218,7 +218,7 @@ def _repeated(t: pa.Table, words: int, gram: int) -> Iterator[pa.RecordBatch]:
 
     t is sorted by gram and right. A suffix's passages all hold its gram, so those between are covered.
     """
-    if t.num_rows < 2:
+    if not t.num_rows:
         return
     n = words - gram
     t = t.combine_chunks()

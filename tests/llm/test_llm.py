@@ -434,6 +434,13 @@ def test_repeats_in_a_crowd(spark, monkeypatch):
         assert {r["doc_id"]: {j for s in r["spans"] for j in range(s["start"], s["end"])} for r in got} == want
 
 
+def test_repeats_within_one_text(spark):
+    """A text that repeats only itself, alone in its tasks: one word over and over, and one passage twice."""
+    rows = [(1, "word " * 400), (2, " ".join(words(55, 12) + words(20, 13) + words(55, 12))), (3, " ".join(words(300, 14)))]
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"]] for r in repeats.repeated_passages(frame(spark, [(a, b, "x", 1) for a, b in rows]), "doc_id", "text").collect()}
+    assert got == {1: [(0, 400)], 2: [(0, 55), (75, 130)], 3: []}
+
+
 def test_leaks(spark):
     items = [(k, " ".join(words(40 + k, 800 + k)), 1) for k in range(12)] + [(50, None, 1), (51, "too short", 1)]
     rows = []
