@@ -17,13 +17,19 @@ from palimpsest.llm.scratch import Scratch, table
 from palimpsest.llm.tokens import token_pieces
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: from this score on the network's label replaces the one given
+SURE = 0.9
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, which have no language; lang becomes the predicted one where it was null."""
+    """Drops documents without a letter, which have no language, null and empty texts among them.
+
+    lang becomes the network's label where that scores SURE or more, or where there was none. Rows that repeat stay, all
+    of them; an empty table gives an empty result; columns that documents does not have are left out.
+    """
     net = fit(docs.where(~held_out("doc_id")), "text", "lang")
     labelled = identify(docs, net, "text", "_lang", "_score").where(F.col("_lang") != UNDETERMINED)
-    return labelled.withColumn("lang", F.coalesce("lang", "_lang")).select(*COLUMNS)
+    return labelled.withColumn("lang", F.when(F.col("lang").isNull() | (F.col("_score") >= SURE), F.col("_lang")).otherwise(F.col("lang"))).select(*COLUMNS)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -48,19 +54,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, with a doc_id or without."""
+    """Drops documents that hold a benchmark item, with a doc_id or without.
+
+    A null text holds none and stays; all rows of a doc_id that holds one go; an empty table gives an empty result.
+    """
     docs = _keyed(docs)
     return without_leaks(docs, find_leaks(docs, table(spark, sf_dir, "benchmark"), key="_key"), "_key").select(*COLUMNS)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets; n_chars follows the text."""
+    """Replaces personal data by its kind in brackets; n_chars follows the text, null for a null one.
+
+    Every row stays; equal rows get equal texts; an empty table gives an empty result.
+    """
     out = redact(docs, find_pii(docs, "doc_id", "text"), "doc_id", "text")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens in as few sequences as can be."""
+    """Pieces of at most 1024 tokens in as few sequences as can be; a null text is one piece, the end token.
+
+    Rows that repeat are packed each; an empty table gives an empty result.
+    """
     import public_tokenizers
 
     return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")), 1024)

@@ -498,6 +498,16 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sum(r["length"] for r in got if r["doc_id"] == 501) == len(enc(text)) // 4 + 1
 
 
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    """No rows; and rows that are all rejected: null, empty and letterless texts, with a column more."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, piece int"
+    for k, rows in enumerate(([], [(1, None, "aa", "s", None, 1), (2, "", None, "s", 0, 1), (None, "12 !", "aa", None, 4, 1)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{k}/benchmark.parquet")
+        assert pipeline.run(spark, f"{tmp_path}/{k}").count() == 0
+
+
 def test_pipeline_judges_null_ids(spark, tmp_path):
     """Copies and leaks go whether they have a doc_id or not."""
     pipeline = pytest.importorskip("corpus_pipeline")
