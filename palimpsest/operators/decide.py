@@ -67,6 +67,34 @@ def redactions(cells: DataFrame, decided: DataFrame, params: Params) -> DataFram
     return out.withColumn("_b", box).select(*PAGE, "seq", "_b.x0", "_b.y0", "_b.x1", "_b.y1", "reason").dropDuplicates([*PAGE, "seq", "reason"])
 
 
+def destroyed_text(spans: DataFrame, boxes: DataFrame) -> DataFrame:
+    """spans with left, the text that boxes (page, x0, y0, x1, y1) leave: a character that meets a box is destroyed.
+
+    The characters of a span are taken as equally wide. Boxes come as one row a page.
+    """
+    per_page = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("_boxes"))
+    joined = spans.join(per_page, PAGE, "left")
+    near = F.filter("_boxes", lambda b: (b.y0 < F.col("y1")) & (b.y1 > F.col("y0")) & (b.x0 < F.col("x1")) & (b.x1 > F.col("x0")))
+    wide = (F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1))
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    kept = F.filter(F.transform(chars, lambda c, i: F.struct(c.alias("c"), (F.col("x0") + wide * i).alias("from"))), lambda c: ~F.exists("_near", lambda b: (b.x0 < c["from"] + wide) & (b.x1 > c["from"])))
+    left = F.when(F.size("_near") > 0, F.array_join(F.transform(kept, lambda c: c.c), "")).otherwise(F.col("text"))
+    return joined.withColumn("_near", F.coalesce(near, F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))).withColumn("left", left).select(*spans.columns, "left")
+
+
+def request_error(direction: Column, keywords: Column, instruction: Column, landlord: Column, instructions_on: Column, filename: Column) -> Column:
+    """Why a request is refused, null if it is not; the first reason counts. A null filename is a missing file."""
+    told = F.trim(F.coalesce(instruction, F.lit(""))) != ""
+    named = F.size(F.filter(F.split(F.coalesce(keywords, F.lit("")), ","), lambda k: F.trim(k) != "")) > 0
+    return (
+        F.when(filename.isNull(), "no file")
+        .when(~F.coalesce(direction, F.lit("keep")).isin(*DIRECTIONS), "invalid direction")
+        .when(told & ~instructions_on, "instructions are off")
+        .when(filename == "", "empty filename")
+        .when(~landlord & ~named & ~told, "no keywords")
+    )
+
+
 def surviving_spans(spans: DataFrame, redacted: DataFrame) -> DataFrame:
     """Spans without a redaction on them."""
     return spans.join(redacted.select(*PAGE, "seq").distinct(), [*PAGE, "seq"], "left_anti")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from palimpsest.functions.predicates import padded
 from palimpsest.operators.layout import PAGE, offset_map, page_text
 
 
@@ -122,6 +123,12 @@ def page_findings(spans: DataFrame, regions: DataFrame, min_score: float = 0.4,
     return placed.where(ok).select(*PAGE, "entity_type", "score", "x0", "y0", "x1", "y1")
 
 
+def enforced(findings: DataFrame) -> DataFrame:
+    """(page, x0, y0, x1, y1, reason): the padded boxes that an enforcing run redacts; a reporting run only counts."""
+    box = padded(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    return findings.withColumn("_b", box).select(*PAGE, "_b.x0", "_b.y0", "_b.x1", "_b.y1", F.concat(F.lit("pii:"), "entity_type").alias("reason"))
+
+
 def count_by_type(findings: DataFrame) -> DataFrame:
     """Counts per page and type, per type (page_no null), and in all (both null) by one rollup."""
     return findings.rollup("entity_type", "page_no").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,16 @@ from palimpsest.functions.predicates import is_amount
 from palimpsest.operators.layout import PAGE
 
 TAIL = 20
+# The legacy engine's patterns.
+LEGACY_CURRENCY = r"£[0-9]{1,3}(,[0-9]{3})*(\.[0-9]+)?"
+LEGACY_DATE = r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+[0-9]{1,2}\b"
+LEGACY_DECIMAL = r"(?<![0-9]%)[0-9]{1,3}(,[0-9]{3})*(\.[0-9]+)(?!%)"
+
+
+def legacy_total(spans: DataFrame) -> DataFrame:
+    """(doc_id, total): the spans with a decimal that are a number as a whole; what else they hold makes them none."""
+    number = F.regexp_replace("text", ",", "").try_cast("decimal(18,2)")
+    return spans.where(F.rlike("text", F.lit(LEGACY_DECIMAL))).groupBy("doc_id").agg(F.coalesce(F.sum(number), F.lit(0)).cast("decimal(18,2)").alias("total"))
 
 
 def tail(log: DataFrame, order: list[str], n: int = TAIL) -> DataFrame:

@@ -247,3 +247,34 @@ SELECT doc_id, seq, CAST(round(y0 * 2) AS INTEGER) AS span_y FROM j WHERE r = 1"
     "src10_form_keywords": "SELECT n_nationkey, string_agg(w, '|' ORDER BY k) AS keywords FROM (SELECT n_nationkey, unnest([trim(n_name), 'rent']) AS w, unnest([1, 2]) AS k FROM nation) GROUP BY 1",
     "t01_funnel": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS value FROM events GROUP BY 1, 2",
 }
+
+_K = "o_orderkey"
+_DIRECTION = _by_key(_K, "'keep'", "'redact'", "'both'", "NULL")
+_KEYWORDS = _by_key(f"{_K} // 4", "'rent, food'", "' , '", "NULL")
+_TOLD = _by_key(f"{_K} // 16", "NULL", "'no coffee'", "'  '")
+_NAME = _by_key(f"{_K} // 8", "'a.pdf'", "'b.pdf'", "'c.pdf'", "''", "NULL")
+SQL |= {
+    "j09_destroyed_text": f"WITH s AS ({LINES}) SELECT doc_id, seq, CASE WHEN EXISTS (SELECT 1 FROM s AS b WHERE b.doc_id = s.doc_id AND b.text LIKE 'A%' AND b.y0 < s.y1 AND b.y1 > s.y0) THEN substr(text, 1, 1) || substr(text, 5) ELSE text END AS \"left\" FROM s",
+    "i07_enforced": _found() + "SELECT c_custkey AS doc_id, 2 - count(DISTINCT f.y0) AS \"left\" FROM customer LEFT JOIN found f ON f.doc_id = c_custkey GROUP BY 1",
+    "k10_request_error": f"""SELECT o_orderkey, CASE WHEN ({_NAME}) IS NULL THEN 'no file' WHEN coalesce({_DIRECTION}, 'keep') = 'both' THEN 'invalid direction'
+WHEN trim(coalesce({_TOLD}, '')) <> '' AND {_K} % 7 = 0 THEN 'instructions are off' WHEN ({_NAME}) = '' THEN 'empty filename'
+WHEN {_K} % 5 <> 0 AND coalesce({_KEYWORDS}, ' , ') = ' , ' AND trim(coalesce({_TOLD}, '')) = '' THEN 'no keywords' END AS error FROM orders""",
+    "snk3_total_annotations": """WITH e AS (SELECT o_custkey AS doc_id, o_orderkey % 3 AS p, min(o_orderkey % 700) FILTER (WHERE o_orderkey % 5 <> 0) AS y FROM orders GROUP BY 1, 2),
+l AS (SELECT doc_id, max(p) AS p, arg_max_null(y, p) AS y FROM e GROUP BY doc_id)
+SELECT doc_id, 1 AS page_no, CAST(coalesce(y + 15, 545) AS INTEGER) AS y, (SELECT format('{:.2f}', CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)) FROM orders WHERE o_custkey = l.doc_id) AS text FROM l WHERE p > 0""",
+    "snk5_log_lines": "SELECT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || ',' || o_orderstatus AS line, count(*) AS n FROM orders GROUP BY 1",
+    "src7_log_values": "SELECT 'a,' || o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1",
+    "snk9_response": "SELECT o_orderkey, '{\"order\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' AS body FROM orders",
+    "t02_running_count": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "p22_second_zone": "SELECT l_orderkey AS doc_id, l_linenumber AS seq FROM lineitem WHERE l_partkey % 4 = 2 OR (l_partkey % 4 = 1 AND l_quantity * 16 <= 842.0 * 0.3)",
+    "p23_legacy_patterns": f"SELECT {_K} % 4 = 0 AS currency, {_K} % 4 = 1 AS day, {_K} % 4 IN (0, 2) AS decimal, count(*) AS n FROM orders GROUP BY 1, 2, 3",
+    "a19_legacy_total": f"SELECT o_custkey AS doc_id, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE {_K} % 3 = 0), 0) AS DECIMAL(18,2)) AS total FROM orders GROUP BY 1",
+    "a20_debug_transactions": f"{TX} SELECT doc_id, page_no, i + 1 AS group_id, full_text AS description, amount, count(*) OVER (PARTITION BY doc_id) AS \"of\" FROM tx",
+    "s01_reading_order": f"WITH s AS ({LINES}) SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y0, seq) AS INTEGER) AS place FROM s",
+    "j03_semantic_keywords": _totals("length(full_text) % 10 >= 8"),
+    "j08_judged_header": _totals(_has("urgent")),
+    "j09_stamped_lines": W_FOLD.format(">= 2") + "SELECT doc_id, row_id AS line_no, count(*) AS spans, count(*) % 2 = 0 AS verdict FROM fold GROUP BY 1, 2",
+    "u04_kept_people": f"SELECT l_orderkey AS doc_id, seq, CASE l_partkey % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'PHONE_NUMBER' ELSE 'IBAN_CODE' END AS entity_type FROM (SELECT *, {SEQ} AS seq FROM lineitem) WHERE l_quantity <= 25 OR l_partkey % 3 = 2 OR (l_partkey % 3 = 0 AND l_suppkey % 2 = 0 AND l_discount * 10 >= 0.6)",
+    "j13_label_lookup": "SELECT lang, quality AS expected, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2",
+    "p35_feature_flags": f"SELECT o_orderkey, coalesce({_K} % 2 = 0 AND ({_by_key(f'{_K} // 2', chr(39) + 'on' + chr(39), chr(39) + 'off' + chr(39), 'NULL')}) = 'on' AND ({_by_key(f'{_K} // 8', chr(39) + 'key' + chr(39), chr(39) + ' ' + chr(39))}) = 'key', FALSE) AS enabled FROM orders",
+}

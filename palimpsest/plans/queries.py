@@ -806,3 +806,165 @@ def src10_form_keywords(spark, sf_dir):
 def t01_funnel(spark, sf_dir):
     f = S.funnel(bridge.read(spark, sf_dir, "events"))
     return f.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "value")
+
+
+# --- redaction on the page, requests, sinks, judgments -----------------------------------------------------------
+
+
+@query
+def j09_destroyed_text(spark, sf_dir):
+    """Boxes over the middle of the lines with flag A: every character that meets one goes, on whatever line."""
+    s = _line_spans(spark, sf_dir)
+    boxes = s.where(F.startswith("text", F.lit("A"))).select("doc_id", "page_no", F.lit(3.0).alias("x0"), "y0", F.lit(7.0).alias("x1"), "y1")
+    return D.destroyed_text(s, boxes).select("doc_id", "seq", "left")
+
+
+@query
+def i07_enforced(spark, sf_dir):
+    """Spans with text left after an enforcing run."""
+    spans, regions = _findings_input(spark, sf_dir)
+    left = D.destroyed_text(spans, I.enforced(I.page_findings(spans, regions)))
+    return left.groupBy("doc_id").agg(F.count_if(F.col("left") != "").alias("left"))
+
+
+@query
+def k10_request_error(spark, sf_dir):
+    k = F.col("o_orderkey")
+    direction = _by_key(k, F.lit("keep"), F.lit("redact"), F.lit("both"), F.lit(None))
+    keywords = _by_key(F.floor(k / 4), F.lit("rent, food"), F.lit(" , "), F.lit(None))
+    told = _by_key(F.floor(k / 16), F.lit(None), F.lit("no coffee"), F.lit("  "))
+    name = _by_key(F.floor(k / 8), F.lit("a.pdf"), F.lit("b.pdf"), F.lit("c.pdf"), F.lit(""), F.lit(None))
+    return _orders(spark, sf_dir).select("o_orderkey", D.request_error(direction, keywords, told, k % 5 == 0, k % 7 != 0, name).alias("error"))
+
+
+@query
+def snk3_total_annotations(spark, sf_dir):
+    o = _orders(spark, sf_dir).withColumn("doc_id", F.col("o_custkey"))
+    ends = o.groupBy("doc_id", (F.col("o_orderkey") % 3).cast("int").alias("page_no")).agg(F.min(F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 700).cast("double"))).alias("end_y"))
+    totals = o.groupBy("doc_id").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    return sinks.total_annotations(ends, totals).select("doc_id", "page_no", F.col("y").cast("int").alias("y"), "text")
+
+
+@query
+def snk5_log_lines(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    return o.select(sinks.log_line(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("o_orderstatus")).alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def src7_log_values(spark, sf_dir):
+    """Log lines, blank ones among them, read back."""
+    o = _orders(spark, sf_dir)
+    lines = o.select(_by_key(F.col("o_orderkey"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(",a,"), "o_orderstatus"), F.lit("  ")).alias("value"))
+    return src.parse_log(lines).groupBy("value").agg(F.count("ts").alias("n"))
+
+
+@query
+def snk9_response(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    return o.select("o_orderkey", sinks.response(order=F.col("o_orderkey"), status=F.col("o_orderstatus")).alias("body"))
+
+
+@query
+def t02_running_count(spark, sf_dir):
+    return S.running_count(bridge.read(spark, sf_dir, "events"))
+
+
+@query
+def p22_second_zone(spark, sf_dir):
+    """The details pass with the second card's zone and lists."""
+    li = bridge.read(spark, sf_dir, "lineitem")
+    s = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), F.col("l_linenumber").alias("seq"), _by_key(F.col("l_partkey"), F.lit("Credit Limit: £500.00"), F.lit(" £12.50 "), F.lit("call 0800 111 222 £1.00"), F.lit("CREDIT LIMIT")).alias("text"), F.lit(0.0).alias("x0"), (F.col("l_quantity") * 16).alias("y0"))
+    pages = s.select("doc_id", "page_no").distinct().withColumn("height", F.lit(842.0))
+    return C.financial_details(s, pages, [r"0800\s+[0-9]+"], ["credit limit"], 0.3).select("doc_id", "seq")
+
+
+@query
+def p23_legacy_patterns(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    t = _by_key(F.col("o_orderkey"), F.lit("£1,200.50"), F.lit("Jan 12"), F.lit("rate 12.34%"), F.lit("plain"))
+    return o.select(t.alias("t")).groupBy(*[F.rlike("t", F.lit(p)).alias(n) for n, p in (("currency", U.LEGACY_CURRENCY), ("day", U.LEGACY_DATE), ("decimal", U.LEGACY_DECIMAL))]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def a19_legacy_total(spark, sf_dir):
+    money = F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2)
+    t = _by_key(F.col("o_orderkey"), money, F.concat(F.lit("£"), money), F.lit("12.34%"))
+    return U.legacy_total(_orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), t.alias("text")))
+
+
+@query
+def a20_debug_transactions(spark, sf_dir):
+    """All transactions of all pages with their number in the document; nothing is redacted."""
+    t = _statement(spark, sf_dir).transactions
+    return t.select("doc_id", "page_no", "group_id", "description", "amount", F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("of"))
+
+
+@query
+def s01_reading_order(spark, sf_dir):
+    return _line_spans(spark, sf_dir).select("doc_id", "seq", F.row_number().over(L.page_window("y0", "x0", "seq")).alias("place"))
+
+
+@query
+def j03_semantic_keywords(spark, sf_dir):
+    """Verdicts by a scorer of the text's length; only those of 0.75 and more keep."""
+
+    def scorer(texts):
+        return [len(t) % 10 / 10 for t in texts]
+
+    return _totals(spark, sf_dir, D.Params(["no such word"]), lambda s: J.keyword_verdicts(s.transactions, scorer))
+
+
+@query
+def j08_judged_header(spark, sf_dir):
+    """Statements whose header labels say nothing: a picker and an assigner find the columns."""
+    spans = bridge.statement_spans(bridge.statement_transactions(spark, sf_dir))
+    roles = {f"Col {c}": r for c, r in zip("abcde", ("date", "description", "paid_out", "paid_in", "balance"))}
+    label = F.lit(None).cast("string")
+    for odd, (_, known) in zip(roles, bridge.COLUMNS.values()):
+        label = F.when(F.col("text") == known, odd).otherwise(label)
+    spans = spans.withColumn("text", F.coalesce(label, "text"))
+
+    def pick(lines):
+        return next(((k, 0.9) for k, p in enumerate(lines) if "Col a" in p), None)
+
+    def assign(texts):
+        return [roles.get(t) for t in texts]
+
+    s = read_statement(spans, columns=J.judged_columns(L.clean_spans(spans), pick, assign))
+    t = D.kept_total(s.decided(D.Params(["urgent"])))
+    return t.select("doc_id", "kept_count", F.col("total").cast("decimal(18,2)").alias("total"), "redacted_count")
+
+
+@query
+def j09_stamped_lines(spark, sf_dir):
+    """One verdict a visual line, on all of its spans; lines of an even number of spans score 0.75."""
+    li = bridge.read(spark, sf_dir, "lineitem")
+    s = li.select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page_no"), F.col("l_linenumber").alias("seq"), F.lit("a-b-c").alias("text"), F.lit(0.0).alias("x0"), (F.col("l_quantity") * 0.5).alias("y0"))
+
+    def scorer(texts):
+        return [len(t) % 4 / 4 for t in texts]
+
+    return J.stamped(s, scorer).groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("row_id").alias("line_no")).agg(F.count(F.lit(1)).alias("spans"), F.min("verdict").alias("verdict"))
+
+
+@query
+def u04_kept_people(spark, sf_dir):
+    """All above y 25; below it structured types, and the people that a classifier calls so with 0.6 or more."""
+    li = _lineitem(spark, sf_dir)
+    f = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), F.col("seq").cast("double").alias("x0"), F.col("l_quantity").cast("double").alias("y0"), _by_key(F.col("l_partkey"), F.lit("PERSON"), F.lit("PHONE_NUMBER"), F.lit("IBAN_CODE")).alias("entity_type"), (F.col("l_partkey") % 3 == 2).alias("structured"), F.lit(25.0).alias("header_y"), (F.col("l_discount") * 10).alias("confidence"), F.when(F.col("l_suppkey") % 2 == 0, "person").otherwise("merchant").alias("choice"))
+    return J.kept_people(f.drop("confidence", "choice"), f.select("doc_id", "page_no", "x0", "y0", "choice", "confidence")).select("doc_id", F.col("x0").cast("long").alias("seq"), "entity_type")
+
+
+@query
+def j13_label_lookup(spark, sf_dir):
+    labels = bridge.read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("expected"))
+    docs = bridge.read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return J.label_lookup(docs, labels, ["doc_id"]).groupBy("lang", "expected").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def p35_feature_flags(spark, sf_dir):
+    k = F.col("o_orderkey")
+    on = J.enabled(k % 2 == 0, _by_key(F.floor(k / 2), F.lit("on"), F.lit("off"), F.lit(None)), _by_key(F.floor(k / 8), F.lit("key"), F.lit(" ")))
+    return _orders(spark, sf_dir).select("o_orderkey", on.alias("enabled"))

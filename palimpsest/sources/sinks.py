@@ -12,7 +12,11 @@ def write_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def append_log(values: DataFrame, path: str, value: str) -> None:
     """`ISO timestamp,value` lines; never any content of a document."""
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    values.select(F.concat_ws(",", stamp, F.col(value).cast("string")).alias("value")).write.mode("append").text(path)
+    values.select(log_line(stamp, F.col(value)).alias("value")).write.mode("append").text(path)
+
+
+def log_line(stamp: Column, value: Column) -> Column:
+    return F.concat_ws(",", stamp, value.cast("string"))
 
 
 def output_name(stem: Column, total: Column) -> Column:

@@ -45,7 +45,11 @@ def extract_spans(files: DataFrame, extractor: Callable[[bytes], list[tuple]]) -
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(ts, value) of an append log of `timestamp,value` lines; blank lines are left out."""
-    line = spark.read.text(path).where("trim(value) <> ''")
+    return parse_log(spark.read.text(path))
+
+
+def parse_log(lines: DataFrame) -> DataFrame:
+    line = lines.where("trim(value) <> ''")
     return line.select(F.split("value", ",", 2)[0].cast("timestamp").alias("ts"), F.split("value", ",", 2)[1].alias("value"))
 
 

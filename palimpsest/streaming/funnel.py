@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -24,6 +26,16 @@ def running_count(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def notify(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str):
+    """Calls handler with the rows that came in and the batch's number, once for every batch that has any."""
+
+    def on_insert(rows: DataFrame, batch: int) -> None:
+        if not rows.isEmpty():
+            handler(rows, batch)
+
+    return stream.writeStream.foreachBatch(on_insert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Processes what is there and stops; append writes Parquet."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -127,3 +127,21 @@ def test_judged_people(spark):
     f = spark.createDataFrame([("d", 0, "PERSON", 50.0, False), ("d", 0, "PERSON", 120.0, False), ("d", 0, "PERSON", 140.0, False), ("d", 0, "PHONE_NUMBER", 150.0, False), ("d", 0, "IBAN_CODE", 160.0, True)], "doc_id string, page_no int, entity_type string, y0 double, structured boolean").selectExpr("*", "10.0D AS x0", "100.0D AS header_y")
     chosen = spark.createDataFrame([("d", 0, 10.0, 120.0, "person", 0.9), ("d", 0, 10.0, 140.0, "merchant", 0.9)], "doc_id string, page_no int, x0 double, y0 double, choice string, confidence double")
     assert sorted(r["y0"] for r in J.kept_people(f, chosen).collect()) == [50.0, 120.0, 160.0]
+
+
+def test_ask_tries_again_and_shows_errors(spark):
+    q = spark.createDataFrame([("d", 0, k, f"text {k}") for k in range(3)], "doc_id string, page_no int, group_id int, description string")
+
+    def broken(texts):
+        raise KeyError("no such model")
+
+    got = J.ask(J.batched(q), broken).collect()
+    assert len(got) == 3 and all(r["prob"] is None and r["error"] == "KeyError: 'no such model'" for r in got)
+    got = J.ask(J.batched(q), lambda texts: [0.5] * len(texts)).collect()
+    assert all(r["prob"] == 0.5 and r["error"] is None for r in got)
+
+
+def test_characters_under_a_box_go(spark):
+    s = spark.createDataFrame([("d", 0, 1, "abcdefghij", 0.0, 0.0, 100.0, 10.0), ("d", 0, 2, "untouched", 0.0, 20.0, 90.0, 30.0), ("d", 1, 3, "other page", 0.0, 0.0, 100.0, 10.0)], SPANS)
+    boxes = spark.createDataFrame([("d", 0, 25.0, 2.0, 45.0, 8.0)], "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double")
+    assert {r["seq"]: r["left"] for r in D.destroyed_text(s, boxes).collect()} == {1: "abfghij", 2: "untouched", 3: "other page"}
