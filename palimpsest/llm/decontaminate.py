@@ -6,8 +6,9 @@ of those, the rarest that the items have, are the item's candidates; a phrase th
 candidate, windows of the item's length are laid wherever it shares a shingle with the item, at the place that the
 shingle has in the item. Equal windows are fingerprinted once. A 64-bit fingerprint is cut into blocks; if two
 fingerprints differ in at most `radius` bits, some block differs in at most radius // blocks bits, so looking up every
-block, together with the length, under all such changes finds every item of that length within the radius. What is
-found is verified by exact weighted-shingle similarity: sum of least over sum of greatest shingle weights, both counted
+block, together with the length, under all such changes finds every item of that length within the radius. The index is
+kept by heavy shingle, of which a match holds one: a window meets only the items that share one with it, however many
+others there are, and heavy shingles that no window holds are not indexed. What is found is verified by exact weighted-shingle similarity: sum of least over sum of greatest shingle weights, both counted
 with repeats.
 """
 
@@ -114,9 +115,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     win_fp = win_counts.groupBy("win").agg(F.collect_list(F.struct("s", "w")).alias("c"), F.sum("w").alias("total")).select("win", "total", simhash(F.col("c")).alias("fp")).join(distinct.select("win", "len"), "win")
     item_fp = item_counts.groupBy("u").agg(F.collect_list(F.struct("s", "w")).alias("c"), F.sum("w").alias("total")).select("u", F.col("total").alias("item_total"), simhash(F.col("c")).alias("item_fp"))
     item_fp = item_fp.join(it.select("u", "len"), "u")
-    index = scratch.save(item_fp.select("*", F.explode(block_keys(F.col("item_fp"), blocks, radius // blocks)).alias("k")).select("u", "item_total", "item_fp", "len", "k.block", "k.value"), "index")
-    probes = win_fp.select("*", F.explode(block_keys(F.col("fp"), blocks, 0)).alias("k")).select("win", "total", "fp", "len", "k.block", "k.value")
-    near = probes.join(index, ["len", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    # by heavy shingle: those that a window holds, on either side
+    shares = scratch.save(win_counts.select("win", "s").join(heavy.select("s").distinct(), "s"), "shares")
+    met = heavy.join(shares.select("s").distinct(), "s").join(item_fp, "u")
+    index = scratch.save(met.select("*", F.explode(block_keys(F.col("item_fp"), blocks, radius // blocks)).alias("k")).select("u", "item_total", "item_fp", "len", "s", "k.block", "k.value"), "index")
+    probes = win_fp.join(shares, "win").select("*", F.explode(block_keys(F.col("fp"), blocks, 0)).alias("k")).select("win", "total", "fp", "len", "s", "k.block", "k.value")
+    near = probes.join(index, ["len", "s", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     near = scratch.save(near.groupBy("win", "u", "total", "item_total").agg(F.lit(1).alias("one")).drop("one"), "near")
 
     shared = near.join(win_counts.select("win", "s", "c", "w"), "win").join(item_counts.select("u", "s", F.col("c").alias("ic"), F.col("w").alias("iw")), ["u", "s"])
