@@ -35,6 +35,9 @@ PROVIDER_WORDS = {"wise": ["wise payments", "transferwise", "wise.com"], "generi
 BANDS = ((10, "0-10"), (50, "11-50"), (250, "51-250"), (1000, "251-1000"))
 ERRORS = (("no_transactions", ("no transactions", "nothing to redact")), ("parse_failed", ("parse", "format")), ("no_file", ("no file", "empty filename")), ("landlord_on_card", ("landlord mode",)))
 
+PROVIDERS = [("amex_uk", "American Express", "card"), ("barclaycard", "Barclaycard", "card"), ("revolut", "Revolut", "bank"), ("hsbc", "HSBC", "bank"), ("wise", "Wise", "bank"), ("generic_bank_uk", "Other UK bank", "bank"), ("auto", "Detect automatically", "auto")]
+ENGINES = {"bank": ("generic_bank_uk", "hsbc", "revolut", "wise"), "card": ("barclaycard",), "card_privacy": ("amex_uk",)}
+
 
 def _bounded(words: list[str]) -> str:
     """Any of the words between characters that are no ASCII letter, digit or underscore."""
@@ -130,6 +133,24 @@ def detect_provider(text: Column) -> Column:
     return out.when(F.contains(t, F.lit("mastercard avios")), "barclaycard").otherwise(None)
 
 
+def known_provider(name: Column) -> Column:
+    """A provider of PROVIDERS; any other name, or none, is taken as amex_uk."""
+    return F.when(name.isin([p[0] for p in PROVIDERS]), name).otherwise("amex_uk")
+
+
+def engine_of(provider: Column) -> Column:
+    """The engine that reads a provider's statements: bank, card, card_privacy, or generic_card for all others."""
+    out = None
+    for engine, names in ENGINES.items():
+        out = (F if out is None else out).when(provider.isin(*names), engine)
+    return out.otherwise("generic_card")
+
+
+def whole_y(y: Column) -> Column:
+    """y without its fraction, as the decimals pass compares lines."""
+    return y.cast("int")
+
+
 def total_band(pounds: Column) -> Column:
     out = F.when(pounds.isNull() | F.isnan(pounds.cast("double")) | (pounds < 0), "unknown")
     for top, name in BANDS:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from palimpsest.functions.predicates import CARD_AMOUNT, CARD_DATE, extract_currency, has_keyword, is_card_credit, parse_card_amount, split_card_date, y_bucket
+from palimpsest.functions.predicates import CARD_AMOUNT, CARD_DATE, extract_currency, has_keyword, is_card_credit, parse_card_amount, split_card_date, whole_y, y_bucket
 from palimpsest.operators.decide import Params
-from palimpsest.operators.layout import PAGE, same_line
+from palimpsest.operators.layout import PAGE, page_window, same_line
 
 # Column geometry, section marks, summary labels and values.
 X_TOLERANCE, COLUMN_SPLIT = 8, 310
@@ -34,6 +34,32 @@ def _any_of(text: Column, marks: tuple[str, ...]) -> Column:
     return out
 
 
+def bucket_order() -> Window:
+    """A page's spans by four-point row, then from left to right."""
+    return page_window(y_bucket(F.col("y0")), "x0", "seq")
+
+
+def beside(values: DataFrame, labels: DataFrame) -> DataFrame:
+    """values with a label in the same four-point row and half of the page."""
+    place = {"_bucket": y_bucket(F.col("y0")), "_left": F.col("x0") < SUMMARY_X}
+    at = labels.withColumns(place).select(*PAGE, *place).distinct()
+    return values.withColumns(place).join(at, [*PAGE, *place], "left_semi").drop(*place)
+
+
+def meeting(spans: DataFrame, boxes: DataFrame) -> DataFrame:
+    """spans that meet one of boxes, a span's own box (of the same seq) left aside. Boxes come as one row a page."""
+    per_page = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct("seq", "x0", "y0", "x1", "y1")).alias("_boxes"))
+    meets = F.exists("_boxes", lambda b: (b.seq != F.col("seq")) & (F.col("x0") < b.x1) & (F.col("x1") > b.x0) & (F.col("y0") < b.y1) & (F.col("y1") > b.y0))
+    return spans.join(per_page, PAGE).where(meets).drop("_boxes")
+
+
+def lone_decimals(decimals: DataFrame, named: DataFrame, reach: int = 1) -> DataFrame:
+    """(page, y, seq): the last decimal of each whole y, but for those within reach of a named span's whole y."""
+    last = decimals.groupBy(*PAGE, whole_y(F.col("y0")).alias("y")).agg(F.max("seq").alias("seq"))
+    near = named.select(*PAGE, F.explode(F.sequence(whole_y(F.col("y0")) - reach, whole_y(F.col("y0")) + reach)).alias("y")).distinct()
+    return last.join(near, [*PAGE, "y"], "left_anti")
+
+
 def section_starts(spans: DataFrame, headers: tuple[str, ...], by_y: bool = False) -> DataFrame:
     """(page, section_y): the bottom of the page's first span with a header, in reading order or by y."""
     order = F.struct("y0", "seq") if by_y else F.struct("seq")

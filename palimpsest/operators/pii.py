@@ -134,6 +134,20 @@ def count_by_type(findings: DataFrame) -> DataFrame:
     return findings.rollup("entity_type", "page_no").agg(F.count(F.lit(1)).alias("n"))
 
 
+def report(findings: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page_no, line): a page's counts by type, and a document's (page_no null); never any matched text."""
+    counts = findings.groupBy(*PAGE, "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    typed = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: F.concat_ws(" ", x.entity_type, x.n)), ", ")
+    said = lambda c: F.when(F.size(c) > 0, typed(c)).otherwise("no findings")
+    per_page = counts.groupBy(*PAGE).agg(F.collect_list(F.struct("entity_type", "n")).alias("c"))
+    lines = pages.select(*PAGE).distinct().join(per_page, PAGE, "left").withColumn("c", F.coalesce("c", F.array().cast(per_page.schema["c"].dataType)))
+    total = counts.groupBy("doc_id", "entity_type").agg(F.sum("n").alias("n")).groupBy("doc_id").agg(F.collect_list(F.struct("entity_type", "n")).alias("c"))
+    whole = pages.groupBy("doc_id").agg(F.countDistinct("page_no").alias("pages")).join(total, "doc_id", "left").withColumn("c", F.coalesce("c", F.array().cast(total.schema["c"].dataType)))
+    page_line = F.concat(F.lit("page "), F.col("page_no") + 1, F.lit(": "), said(F.col("c")))
+    total_line = F.concat(F.lit("total across "), F.col("pages"), F.lit(" page(s): "), said(F.col("c")))
+    return lines.select(*PAGE, page_line.alias("line")).unionByName(whole.select("doc_id", F.lit(None).cast("int").alias("page_no"), total_line.alias("line")))
+
+
 def first_candidates(findings: DataFrame, limit: int = 20) -> DataFrame:
     w = Window.partitionBy(*PAGE).orderBy("y0", "x0", "entity_type")
     return findings.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")

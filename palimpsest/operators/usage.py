@@ -25,6 +25,11 @@ def tail(log: DataFrame, order: list[str], n: int = TAIL) -> DataFrame:
     return log.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
 
 
+def usage_count(log: DataFrame, line: str = "value") -> DataFrame:
+    """(n): the lines of an append log, blank and missing ones left out; counts over appends cannot lose an increment."""
+    return log.agg(F.count_if(F.trim(line) != "").alias("n"))
+
+
 def usage_stats(events: DataFrame, kind: str = "event_type") -> DataFrame:
     return events.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
 

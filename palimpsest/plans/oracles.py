@@ -278,3 +278,15 @@ SELECT doc_id, 1 AS page_no, CAST(coalesce(y + 15, 545) AS INTEGER) AS y, (SELEC
     "j13_label_lookup": "SELECT lang, quality AS expected, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2",
     "p35_feature_flags": f"SELECT o_orderkey, coalesce({_K} % 2 = 0 AND ({_by_key(f'{_K} // 2', chr(39) + 'on' + chr(39), chr(39) + 'off' + chr(39), 'NULL')}) = 'on' AND ({_by_key(f'{_K} // 8', chr(39) + 'key' + chr(39), chr(39) + ' ' + chr(39))}) = 'key', FALSE) AS enabled FROM orders",
 }
+
+_TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+_COUNTS = "(SELECT string_agg(entity_type || ' ' || n, ', ' ORDER BY entity_type) FROM (SELECT entity_type, count(*) AS n FROM found WHERE found.doc_id = c_custkey GROUP BY 1))"
+SQL |= {
+    "src1_file_spans": "SELECT 'region.parquet' AS file, CAST(k - 1 AS INTEGER) AS seq, r_name AS text, CAST(10 * (k - 1) AS INTEGER) AS y FROM (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS k FROM region)",
+    "src8_files": "SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', {k})" for k, t in enumerate(_TABLES, 1)) + ") t(name, place)",
+    "s03_bucket_order": f"SELECT l_orderkey AS doc_id, seq, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {BUCKET.format('l_quantity')}, l_partkey % 4, seq) AS INTEGER) AS place FROM (SELECT *, {SEQ} AS seq FROM lineitem)",
+    "s08_last_dates": f"SELECT l_orderkey AS doc_id, CAST(l_suppkey % 3 AS INTEGER) AS col, CAST(arg_max(l_quantity, seq) + 28 AS INTEGER) AS end_y FROM (SELECT *, {SEQ} AS seq FROM lineitem) WHERE l_partkey % 3 <> 1 AND l_suppkey % 3 < 2 GROUP BY 1, 2",
+    "snk4_usage_count": f"SELECT count(*) AS n FROM orders WHERE {_K} % 3 = 0",
+    "i08_page_report": _found() + f"SELECT c_custkey AS doc_id, 0 AS page_no, 'page 1: ' || coalesce({_COUNTS}, 'no findings') AS line FROM customer UNION ALL SELECT c_custkey, NULL, 'total across 1 page(s): ' || coalesce({_COUNTS}, 'no findings') FROM customer",
+    "j05_people": f"WITH f AS (SELECT l_orderkey, seq, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_orderkey % 16, l_orderkey // 32 ORDER BY l_orderkey, seq) AS place FROM (SELECT *, {SEQ} AS seq FROM lineitem)) SELECT l_orderkey % 16 AS doc_id, CAST(l_orderkey // 32 AS INTEGER) AS page_no, l_orderkey AS \"order\", seq FROM f WHERE place <= 20 AND l_returnflag = 'A' AND l_linestatus = 'F'",
+}

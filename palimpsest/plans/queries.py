@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from palimpsest.functions import predicates as P
@@ -143,7 +145,7 @@ def p24_detect_provider(spark, sf_dir):
     return c.select("conv_id", "turn", P.detect_provider(_marked("text", "conv_id")).alias("provider"))
 
 
-PROVIDERS = [("amex_uk", "American Express", "card"), ("barclaycard", "Barclaycard", "card"), ("revolut", "Revolut", "bank"), ("hsbc", "HSBC", "bank"), ("wise", "Wise", "bank"), ("generic_bank_uk", "Other UK bank", "bank"), ("auto", "Detect automatically", "auto")]
+PROVIDERS = P.PROVIDERS
 
 
 def provider_table(spark: SparkSession) -> DataFrame:
@@ -154,16 +156,13 @@ def provider_table(spark: SparkSession) -> DataFrame:
 def p25_provider_config(spark, sf_dir):
     """Provider by name, `amex` for amex_uk, an unknown name as amex_uk."""
     c = p24_detect_provider(spark, sf_dir).withColumn("provider", F.when(F.col("conv_id") % 13 == 0, F.lit("amex")).otherwise(F.col("provider")))
-    known = F.col("provider").isin([p[0] for p in PROVIDERS])
-    name = F.when(known, F.col("provider")).otherwise("amex_uk")
-    return c.withColumn("provider", name).join(F.broadcast(provider_table(spark)), "provider").select("conv_id", "turn", "provider", "display_name")
+    return c.withColumn("provider", P.known_provider(F.col("provider"))).join(F.broadcast(provider_table(spark)), "provider").select("conv_id", "turn", "provider", "display_name")
 
 
 @query
 def k09_routing(spark, sf_dir):
     c = p24_detect_provider(spark, sf_dir)
-    engine = F.when(F.col("provider").isin("generic_bank_uk", "hsbc", "revolut", "wise"), "bank").when(F.col("provider") == "barclaycard", "card").when(F.col("provider") == "amex_uk", "card_privacy").otherwise("generic_card")
-    return c.select("conv_id", "turn", engine.alias("engine"))
+    return c.select("conv_id", "turn", P.engine_of(F.col("provider")).alias("engine"))
 
 
 @query
@@ -182,7 +181,7 @@ def p28_y_bucket(spark, sf_dir):
 
 @query
 def p29_int_truncated(spark, sf_dir):
-    return bridge.read(spark, sf_dir, "events").select("event_id", F.col("value").cast("int").alias("y"))
+    return bridge.read(spark, sf_dir, "events").select("event_id", P.whole_y(F.col("value")).alias("y"))
 
 
 @query
@@ -520,9 +519,9 @@ def k03_span_decision(spark, sf_dir):
 @query
 def j05_label_value_semi(spark, sf_dir):
     """Order lines as labels (flag R) and values in the same bucket and half of the page."""
-    li = bridge.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", P.y_bucket(F.col("l_quantity")).alias("bucket"), (F.col("l_partkey") % 2).alias("side"))
-    labels = li.where("l_returnflag = 'R'").select("l_orderkey", "bucket", "side")
-    return li.where("l_returnflag <> 'R'").join(labels, ["l_orderkey", "bucket", "side"], "left_semi").select("l_orderkey", "l_linenumber")
+    li = bridge.read(spark, sf_dir, "lineitem")
+    s = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), "l_linenumber", "l_returnflag", F.col("l_quantity").alias("y0"), F.when(F.col("l_partkey") % 2 == 0, 0.0).otherwise(300.0).alias("x0"))
+    return C.beside(s.where("l_returnflag <> 'R'"), s.where("l_returnflag = 'R'")).select(F.col("doc_id").alias("l_orderkey"), "l_linenumber")
 
 
 @query
@@ -538,18 +537,15 @@ def j06_clamp_rects(spark, sf_dir):
 def j07_limit_boxes(spark, sf_dir):
     """Spans that meet another span's box that mentions a limit (flag A)."""
     s = _line_spans(spark, sf_dir)
-    limits = s.where(F.startswith("text", F.lit("A"))).select("doc_id", F.col("seq").alias("ls"), F.col("y0").alias("ly0"), F.col("y1").alias("ly1"))
-    meets = (s.doc_id == limits.doc_id) & (s.seq != limits.ls) & (s.y0 < limits.ly1) & (s.y1 > limits.ly0)
-    return s.join(limits, meets, "left_semi").select("doc_id", "seq")
+    return C.meeting(s, s.where(F.startswith("text", F.lit("A")))).select("doc_id", "seq")
 
 
 @query
 def j08_unmark_decimals(spark, sf_dir):
     """The last decimal of each whole y, but for those within 1 of a keyword's y."""
-    s = _line_spans(spark, sf_dir).withColumn("y", F.col("y0").cast("int"))
-    dec = s.where(~F.contains("text", F.lit("R-"))).groupBy("doc_id", "y").agg(F.max("seq").alias("seq"))
-    named = s.where(F.contains("text", F.lit("R-"))).select(F.col("doc_id").alias("kd"), F.col("y").alias("ky"))
-    return dec.join(named, (dec.doc_id == named.kd) & (F.abs(dec.y - named.ky) <= 1), "left_anti").select("doc_id", "y", "seq")
+    s = _line_spans(spark, sf_dir)
+    named = F.contains("text", F.lit("R-"))
+    return C.lone_decimals(s.where(~named), s.where(named)).select("doc_id", "y", "seq")
 
 
 @query
@@ -968,3 +964,68 @@ def p35_feature_flags(spark, sf_dir):
     k = F.col("o_orderkey")
     on = J.enabled(k % 2 == 0, _by_key(F.floor(k / 2), F.lit("on"), F.lit("off"), F.lit(None)), _by_key(F.floor(k / 8), F.lit("key"), F.lit(" ")))
     return _orders(spark, sf_dir).select("o_orderkey", on.alias("enabled"))
+
+
+# --- files, orders of rows, counters, reports, judged people -------------------------------------------------------
+
+
+@query
+def src1_file_spans(spark, sf_dir):
+    """Files read whole and turned to spans by a caller's extractor: each text of a table's second column is a span."""
+
+    def extractor(raw: bytes) -> list[tuple]:
+        texts = pq.read_table(pa.BufferReader(raw)).column(1).to_pylist()
+        return [(0, t, 0.0, 10.0 * k, 50.0, 10.0 * k + 8) for k, t in enumerate(texts)]
+
+    spans = src.extract_spans(src.documents(spark, sf_dir, "region.parquet"), extractor)
+    return spans.select(F.element_at(F.split("doc_id", "/"), -1).alias("file"), "seq", "text", F.col("y0").cast("int").alias("y"))
+
+
+@query
+def src8_files(spark, sf_dir):
+    """The files of a folder in lexicographic order; their contents are not read."""
+    return src.file_order(src.documents(spark, sf_dir, "*.parquet")).select("name", "place")
+
+
+@query
+def s03_bucket_order(spark, sf_dir):
+    """Card spans in the order of their four-point rows, then from left to right."""
+    li = _lineitem(spark, sf_dir)
+    s = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), "seq", F.col("l_quantity").alias("y0"), (F.col("l_partkey") % 4).alias("x0"))
+    return s.select("doc_id", "seq", F.row_number().over(C.bucket_order()).alias("place"))
+
+
+@query
+def s08_last_dates(spark, sf_dir):
+    """Columns without an end mark end below their last bare date, the last in extraction order."""
+    li = _lineitem(spark, sf_dir)
+    s = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), "seq", _by_key(F.col("l_partkey"), F.lit("24 Aug"), F.lit("Shop"), F.lit(" 3 Sep ")).alias("text"), _by_key(F.col("l_suppkey"), F.lit(52.0), F.lit(330.0), F.lit(200.0)).alias("x0"), F.col("l_quantity").alias("y0"), (F.col("l_quantity") + 8).alias("y1"))
+    return C.section_ends(s).select("doc_id", "col", F.col("end_y").cast("int").alias("end_y"))
+
+
+@query
+def snk4_usage_count(spark, sf_dir):
+    """Lines of an append log, blank ones left out; a log without lines counts 0."""
+    o = _orders(spark, sf_dir)
+    line = _by_key(F.col("o_orderkey"), sinks.log_line(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("done")), F.lit("  "), F.lit(None))
+    return U.usage_count(o.select(line.alias("value")))
+
+
+@query
+def i08_page_report(spark, sf_dir):
+    """What a reporting run prints: a line a page and a line a document, without any matched text."""
+    spans, regions = _findings_input(spark, sf_dir)
+    return I.report(I.page_findings(spans, regions), regions).select("doc_id", "page_no", "line")
+
+
+@query
+def j05_people(spark, sf_dir):
+    """The first 20 candidates of a page, chosen by a classifier of their texts; 0.6 and more counts."""
+    li = _lineitem(spark, sf_dir)
+    f = li.select((F.col("l_orderkey") % 16).alias("doc_id"), F.floor(F.col("l_orderkey") / 32).cast("int").alias("page_no"), F.col("l_orderkey").cast("double").alias("y0"), F.col("seq").cast("double").alias("x0"), F.lit("PERSON").alias("entity_type"), F.concat_ws("-", "l_returnflag", "l_linestatus").alias("description"))
+
+    def classifier(texts):
+        return [("person" if t[0] == "A" else "merchant", 0.9 if t[-1] == "F" else 0.5) for t in texts]
+
+    people = J.people(f, classifier).where((F.col("choice") == "person") & (F.col("confidence") >= J.PERSON_MIN))
+    return people.select("doc_id", "page_no", F.col("y0").cast("long").alias("order"), F.col("x0").cast("int").alias("seq"))

@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palimpsest.operators.decide import destroyed_text
+
 
 def write_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
+def save_redacted(spans: DataFrame, boxes: DataFrame, path: str) -> None:
+    """path/redactions, the boxes, and path/redacted_spans: spans with the text that the boxes leave, none empty.
+
+    A span whose text is destroyed in whole is left out, so what is written holds nothing of what was redacted.
+    """
+    write_result(boxes, f"{path}/redactions")
+    left = destroyed_text(spans, boxes).withColumn("text", F.col("left")).where(F.trim("text") != "")
+    write_result(left.select(*spans.columns), f"{path}/redacted_spans")
+
+
 def append_log(values: DataFrame, path: str, value: str) -> None:
     """`ISO timestamp,value` lines; never any content of a document."""
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from palimpsest.types import SPANS
 
@@ -30,6 +30,12 @@ def documents(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFram
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select(F.col("path").alias("doc_id"), "content")
 
 
+def file_order(files: DataFrame) -> DataFrame:
+    """(doc_id, name, place): file names in lexicographic order, from 1; one task, for a folder's names only."""
+    names = files.select("doc_id", F.element_at(F.split("doc_id", "/"), -1).alias("name"))
+    return names.withColumn("place", F.row_number().over(Window.orderBy("name")))
+
+
 def extract_spans(files: DataFrame, extractor: Callable[[bytes], list[tuple]]) -> DataFrame:
     """Spans by a caller's extractor: bytes to (page_no, text, x0, y0, x1, y1) tuples, in reading order."""
     names = SPANS.fieldNames()

@@ -6,6 +6,7 @@ import pytest
 
 from palimpsest.operators import card as C, decide as D, judge as J, layout as L
 from palimpsest.plans.statement import read_statement
+from palimpsest.sources import spans as src
 from palimpsest.types import SPANS
 
 HEADER = [(50, 110, "Date"), (110, 110, "Description"), (340, 110, "Paid out"), (430, 110, "Paid in"), (510, 110, "Balance")]
@@ -145,3 +146,51 @@ def test_characters_under_a_box_go(spark):
     s = spark.createDataFrame([("d", 0, 1, "abcdefghij", 0.0, 0.0, 100.0, 10.0), ("d", 0, 2, "untouched", 0.0, 20.0, 90.0, 30.0), ("d", 1, 3, "other page", 0.0, 0.0, 100.0, 10.0)], SPANS)
     boxes = spark.createDataFrame([("d", 0, 25.0, 2.0, 45.0, 8.0)], "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double")
     assert {r["seq"]: r["left"] for r in D.destroyed_text(s, boxes).collect()} == {1: "abfghij", 2: "untouched", 3: "other page"}
+
+
+def test_late_and_failing_scorers_give_no_answers(spark):
+    q = spark.createDataFrame([("d", 0, k, f"text {k}") for k in range(2)], "doc_id string, page_no int, group_id int, description string")
+
+    def late(texts):
+        import time
+
+        time.sleep(2)
+
+    got = J.ask(J.batched(q), late, timeout=0.1).collect()
+    assert [(r["prob"], r["error"]) for r in got] == [(None, "no answer in 0.1 s")] * 2
+    f = spark.createDataFrame([("d", 0, float(k), float(-k), "PERSON", f"name {k}") for k in range(25)], "doc_id string, page_no int, x0 double, y0 double, entity_type string, description string")
+    chosen = J.people(f, lambda texts: [("person", 0.9)] * len(texts)).collect()
+    assert sorted(r["x0"] for r in chosen) == [float(k) for k in range(5, 25)]
+    assert J.people(f, lambda texts: [("person", 0.9)]).count() == 0
+    assert J.people(f, late, timeout=0.1).count() == 0
+
+
+def test_pairs_of_spans(spark):
+    s = spark.createDataFrame([("d", 0, 1, "limit", 0.0, 0.0, 50.0, 10.0), ("d", 0, 2, "under it", 40.0, 5.0, 90.0, 15.0), ("d", 0, 3, "beside", 60.0, 0.0, 90.0, 4.0), ("d", 1, 4, "elsewhere", 0.0, 0.0, 50.0, 10.0)], SPANS)
+    assert [r["seq"] for r in C.meeting(s, s.where("text = 'limit'")).collect()] == [2]
+    assert {r["seq"] for r in C.beside(s, s.where("seq = 1")).collect()} == {1, 3}
+    assert {(r["y"], r["seq"]) for r in C.lone_decimals(s, s.where("seq = 2")).collect()} == {(0, 3), (0, 4)}
+
+
+def test_report_and_enforcement(spark, tmp_path):
+    from palimpsest import report
+
+    s = spark.createDataFrame([("d", 0, 1, "Mail jane.doe@shop.example now", 0.0, 0.0, 300.0, 10.0), ("d", 0, 2, "nothing here", 0.0, 40.0, 100.0, 50.0), ("d", 1, 3, "plain", 0.0, 0.0, 50.0, 10.0)], SPANS)
+    s.write.parquet(str(tmp_path / "spans"))
+    lines = list(report.run(spark, str(tmp_path / "spans"), str(tmp_path / "out")))
+    assert lines == ["d page 1: EMAIL_ADDRESS 1", "d page 2: no findings", "d total across 2 page(s): EMAIL_ADDRESS 1"]
+    left = {r["seq"]: r["text"] for r in spark.read.parquet(str(tmp_path / "out" / "redacted_spans")).collect()}
+    assert left == {2: "nothing here", 3: "plain"}
+    assert spark.read.parquet(str(tmp_path / "out" / "redactions")).count() == 1
+
+
+def test_files_become_spans(spark, tmp_path):
+    for name, text in (("b.pdf", "two words"), ("a.pdf", "one"), ("c.txt", "no")):
+        (tmp_path / name).write_text(text)
+
+    def extractor(raw):
+        return [(0, w, 10.0 * k, 0.0, 10.0 * k + 8, 10.0) for k, w in enumerate(raw.decode().split())]
+
+    files = src.documents(spark, str(tmp_path))
+    assert [(r["name"], r["place"]) for r in src.file_order(files).orderBy("place").collect()] == [("a.pdf", 1), ("b.pdf", 2)]
+    assert sorted((r["doc_id"][-5:], r["seq"], r["text"]) for r in src.extract_spans(files, extractor).collect()) == [("a.pdf", 0, "one"), ("b.pdf", 0, "two"), ("b.pdf", 1, "words")]
