@@ -983,8 +983,8 @@ def src1_file_spans(spark, sf_dir):
 
 @query
 def src8_files(spark, sf_dir):
-    """The files of a folder in lexicographic order; their contents are not read."""
-    return src.file_order(src.documents(spark, sf_dir, "*.parquet")).select("name", "place")
+    """The files of a folder in lexicographic order, a folder of parts as one; their contents are not read."""
+    return src.file_order(src.entries(spark, sf_dir, "*.parquet")).select("name", "place")
 
 
 @query

@@ -30,6 +30,16 @@ def documents(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFram
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select(F.col("path").alias("doc_id"), "content")
 
 
+def entries(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
+    """(doc_id) of what stands in a folder, a table kept as a folder of parts included; nothing is opened. As for Spark, names with a leading `_` or `.` are hidden."""
+    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at, jvm.org.apache.hadoop.fs.GlobFilter(glob))
+    # all paths in one call: one call a path takes half a millisecond
+    joined = jvm.scala.runtime.ScalaRunTime.genericWrapArray(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found)).mkString("\0")
+    paths = [p for p in joined.split("\0") if p and not p.rpartition("/")[2].startswith(("_", "."))]
+    return spark.createDataFrame(pa.table({"doc_id": pa.array(paths, pa.string())}))
+
+
 def file_order(files: DataFrame) -> DataFrame:
     """(doc_id, name, place): file names in lexicographic order, from 1; one task, for a folder's names only."""
     names = files.select("doc_id", F.element_at(F.split("doc_id", "/"), -1).alias("name"))

@@ -194,3 +194,17 @@ def test_files_become_spans(spark, tmp_path):
     files = src.documents(spark, str(tmp_path))
     assert [(r["name"], r["place"]) for r in src.file_order(files).orderBy("place").collect()] == [("a.pdf", 1), ("b.pdf", 2)]
     assert sorted((r["doc_id"][-5:], r["seq"], r["text"]) for r in src.extract_spans(files, extractor).collect()) == [("a.pdf", 0, "one"), ("b.pdf", 0, "two"), ("b.pdf", 1, "words")]
+
+
+def test_folders_of_parts_are_listed(spark, tmp_path):
+    from palimpsest.plans.queries import QUERIES
+
+    spark.range(3).repartition(2).write.parquet(str(tmp_path / "b, {1}.parquet"))
+    (tmp_path / "empty.parquet").mkdir()
+    for name in ("c.parquet", "a.parquet", "d.txt", "_e.parquet"):
+        (tmp_path / name).write_text("not opened")
+    got = QUERIES["src8_files"](spark, str(tmp_path))
+    assert got.dtypes == [("name", "string"), ("place", "int")]
+    assert [tuple(r) for r in got.orderBy("place").collect()] == [("a.parquet", 1), ("b, {1}.parquet", 2), ("c.parquet", 3), ("empty.parquet", 4)]
+    (tmp_path / "none").mkdir()
+    assert QUERIES["src8_files"](spark, str(tmp_path / "none")).count() == 0
